@@ -5,14 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.operators import orphans
+from ledgerloom.operators import orphans, units
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return units.harmonise(table(spark, sf, "claims")).filter("status = 'stated'").select("claim_id", "common_unit", "amount")
+
+
+def p4_unstated(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims with a number but without a unit: converted by the classifier or routed to review."""
+    return units.harmonise(table(spark, sf, "claims")).filter("status in ('predicted', 'review')")
+
+
+def p4_status(spark: SparkSession, sf: str) -> DataFrame:
+    return units.harmonise(table(spark, sf, "claims")).groupBy("status", "common_unit").agg(F.count("*").alias("claims"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     claims, relations = table(spark, sf, "claims"), table(spark, sf, "relations")
     store, deletions = table(spark, sf, "document_store"), table(spark, sf, "deletion_log")
@@ -26,4 +40,4 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     return orphans.orphan_report(p5_found(spark, sf))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_report)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_unstated, p4_status, p5_found, p5_report)}
