@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import clean_key
-from ledgerloom.llm import components, confusables, fingerprint, tokens
+from ledgerloom.llm import components, confusables, fingerprint, names, tokens
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,6 +40,25 @@ def p2_copies(spark: SparkSession, sf: str) -> DataFrame:
     return p2_found(spark, sf).groupBy("keep_id").agg(F.count("*").alias("copies"))
 
 
+def _name_fields(spark: SparkSession, sf: str) -> DataFrame:
+    claims = _table(spark, sf, "claims").select(clean_key("claim_id").alias("claim_id"), "subject", "asserted_by")
+    fields = F.array(*[F.struct(F.lit(f).alias("claim_field"), F.col(f).alias("spelling")) for f in ("subject", "asserted_by")])
+    return claims.select("claim_id", F.explode(fields).alias("x")).select("claim_id", "x.*").filter("claim_id is not null and spelling is not null")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    fields, register = _name_fields(spark, sf), _table(spark, sf, "entity_register")
+    meant = names.variants(fields, "spelling", register, "entity_id", "entity_name", "entity_kind")
+    return fields.join(meant, "spelling").select("claim_id", "claim_field", "entity_id").distinct()
+
+
+def p6_spellings(spark: SparkSession, sf: str) -> DataFrame:
+    """How many spellings of each registered entity are in use."""
+    fields, register = _name_fields(spark, sf), _table(spark, sf, "entity_register")
+    meant = names.variants(fields, "spelling", register, "entity_id", "entity_name", "entity_kind")
+    return meant.groupBy("entity_id").agg(F.count("*").alias("spellings"))
+
+
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
     claims = _table(spark, sf, "claims").select(clean_key("claim_id").alias("claim_id"), "span_text", "matched_text")
     fields = F.array(*[F.struct(F.lit(f).alias("claim_field"), F.col(f).alias("text")) for f in ("span_text", "matched_text")])
@@ -74,5 +93,5 @@ def p8_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_group_sizes, p2_found, p2_copies, p7_found, p7_forms, p7_same_look, p8_ids, p8_token_counts, p8_round_trip)
+    f.__name__: f for f in (p1_found, p1_group_sizes, p2_found, p2_copies, p6_found, p6_spellings, p7_found, p7_forms, p7_same_look, p8_ids, p8_token_counts, p8_round_trip)
 }
