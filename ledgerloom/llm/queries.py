@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import clean_key
-from ledgerloom.llm import components, confusables, fingerprint, names, tokens
+from ledgerloom.llm import components, confusables, fingerprint, names, tokens, vectors
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,6 +40,21 @@ def p2_copies(spark: SparkSession, sf: str) -> DataFrame:
     return p2_found(spark, sf).groupBy("keep_id").agg(F.count("*").alias("copies"))
 
 
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "claims").select(clean_key("claim_id").alias("claim_id"), "embedding")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.similar_pairs(_vectors(spark, sf), "claim_id", "embedding").select(F.col("lo").alias("claim_lo_id"), F.col("hi").alias("claim_hi_id"))
+
+
+def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """claim_id, rank, neighbour_id, cosine: the five most similar of every claim, in order."""
+    first, rest = vectors.nearest(_vectors(spark, sf), "claim_id", "embedding")
+    flat = first.unionByName(rest).select(F.col("id").alias("claim_id"), F.posexplode("near").alias("pos", "x"))
+    return flat.select("claim_id", (F.col("pos") + 1).alias("rank"), F.col("x.id").alias("neighbour_id"), F.round("x.cosine", 6).alias("cosine"))
+
+
 def _name_fields(spark: SparkSession, sf: str) -> DataFrame:
     claims = _table(spark, sf, "claims").select(clean_key("claim_id").alias("claim_id"), "subject", "asserted_by")
     fields = F.array(*[F.struct(F.lit(f).alias("claim_field"), F.col(f).alias("spelling")) for f in ("subject", "asserted_by")])
@@ -93,5 +108,5 @@ def p8_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_group_sizes, p2_found, p2_copies, p6_found, p6_spellings, p7_found, p7_forms, p7_same_look, p8_ids, p8_token_counts, p8_round_trip)
+    f.__name__: f for f in (p1_found, p1_group_sizes, p2_found, p2_copies, p3_found, p3_neighbours, p6_found, p6_spellings, p7_found, p7_forms, p7_same_look, p8_ids, p8_token_counts, p8_round_trip)
 }
