@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import clean_key
-from ledgerloom.llm import components, confusables, fingerprint, names, tokens, vectors
+from ledgerloom.llm import components, confusables, fingerprint, names, pii, tokens, vectors
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -107,6 +107,23 @@ def p8_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(decoded, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
 
 
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_items(_table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    flat = _items(spark, sf).select("doc_id", F.explode("items").alias("x"))
+    return flat.select("doc_id", F.col("x.kind").alias("pii_kind"), F.col("x.text").alias("pii_text")).distinct()
+
+
+def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return _items(spark, sf).select("doc_id", F.col("redacted").alias("text"))
+
+
+def p10_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_found(spark, sf).groupBy("pii_kind").agg(F.count("*").alias("items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_group_sizes, p2_found, p2_copies, p3_found, p3_neighbours, p6_found, p6_spellings, p7_found, p7_forms, p7_same_look, p8_ids, p8_token_counts, p8_round_trip)
+    f.__name__: f for f in (p1_found, p1_group_sizes, p2_found, p2_copies, p3_found, p3_neighbours, p6_found, p6_spellings, p7_found, p7_forms, p7_same_look, p8_ids, p8_token_counts, p8_round_trip, p10_found, p10_redacted, p10_kinds)
 }
