@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import clean_key
-from ledgerloom.llm import components, confusables, fingerprint, names, pii, tokens, vectors
+from ledgerloom.llm import components, confusables, fingerprint, mixing, names, pii, tokens, vectors
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -107,6 +107,22 @@ def p8_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(decoded, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
 
 
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, mixing.Plan]:
+    docs = _table(spark, sf, "documents")
+    sizes = docs.select("doc_id", "source").join(tokens.token_counts(docs, "doc_id", "text"), "doc_id")
+    return mixing.mix(sizes, "doc_id", _table(spark, sf, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """slot, source, doc_id, use, tokens: the mix in the order of its slots' numbers."""
+    return _mix(spark, sf)[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    mixed, plan = _mix(spark, sf)
+    return mixing.shares(mixed, "doc_id", plan)
+
+
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find_items(_table(spark, sf, "documents"), "doc_id", "text")
 
@@ -125,5 +141,5 @@ def p10_kinds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_group_sizes, p2_found, p2_copies, p3_found, p3_neighbours, p6_found, p6_spellings, p7_found, p7_forms, p7_same_look, p8_ids, p8_token_counts, p8_round_trip, p10_found, p10_redacted, p10_kinds)
+    f.__name__: f for f in (p1_found, p1_group_sizes, p2_found, p2_copies, p3_found, p3_neighbours, p6_found, p6_spellings, p7_found, p7_forms, p7_same_look, p8_ids, p8_token_counts, p8_round_trip, p9_mix, p9_shares, p10_found, p10_redacted, p10_kinds)
 }
