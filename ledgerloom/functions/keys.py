@@ -13,3 +13,14 @@ def clean_key(col: Column | str) -> Column:
     col = F.col(col) if isinstance(col, str) else col
     bare = F.lower(F.btrim(col, F.lit(BLANKS)))
     return F.when(bare != "", bare)
+
+
+def literal_map(table: dict[str, float | str]) -> Column:
+    """A constant map, parsed in one go (building it entry by entry costs a call to the JVM each)."""
+
+    def word(x: float | str) -> str:
+        if isinstance(x, str):
+            return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{float(x)!r}D"
+
+    return F.expr("map(" + ", ".join(f"{word(k)}, {word(v)}" for k, v in table.items()) + ")")
