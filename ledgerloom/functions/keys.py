@@ -24,3 +24,8 @@ def literal_map(table: dict[str, float | str]) -> Column:
         return f"{float(x)!r}D"
 
     return F.expr("map(" + ", ".join(f"{word(k)}, {word(v)}" for k, v in table.items()) + ")")
+
+
+def literal_array(words: list[str]) -> Column:
+    """A constant array of strings, parsed in one go."""
+    return F.expr("array(" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in words) + ")")

@@ -48,21 +48,30 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def partial_window(a: str, b: str) -> tuple[float, int, int]:
-    """Best ratio of the shorter string against windows of the longer of its length, cut at the ends; with the window."""
+    """Best ratio of the shorter string against windows of the longer of its length, cut at the ends; with the window.
+
+    Windows are tried where three characters in a row meet; strings that share no such run have none.
+    """
     short, long_ = (a, b) if len(a) <= len(b) else (b, a)
     n = len(short)
     if not n:
         return (1.0 if not long_ else 0.0), 0, 0
-    chars, best = set(short), (0.0, 0, 0)
-    for start in range(-n + 1, len(long_)):
+    at: dict[str, list[int]] = {}
+    for i in range(max(1, n - 2)):
+        at.setdefault(short[i : i + 3], []).append(i)
+    votes: dict[int, int] = {}
+    for p in range(max(1, len(long_) - 2)):
+        for i in at.get(long_[p : p + 3], ()):
+            votes[p - i] = votes.get(p - i, 0) + 1
+    if not votes:
+        return 0.0, 0, 0
+    # A window that fits well collects many votes on its own start or, after insertions, on starts close by.
+    least, best = max(votes.values()) / 3, (0.0, 0, 0)
+    for start in sorted(s for s, v in votes.items() if v >= least):
         lo, hi = max(0, start), min(len(long_), start + n)
-        if long_[lo if start <= 0 else hi - 1] not in chars and start != 0:
-            continue
         s = ratio.__wrapped__(short, long_[lo:hi])
         if s > best[0]:
             best = (s, lo, hi)
-            if s == 1.0:
-                break
     return best
 
 

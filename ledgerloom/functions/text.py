@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.keys import literal_array
 from ledgerloom.functions.lexicon import ACRONYM_SKIP, ANTONYM_GROUPS, ORG_SUFFIXES, PREDICATE_STOPWORDS
 
 MARKS = r"[^\p{L}\p{M}\p{N}_\s]"
@@ -35,7 +36,8 @@ def singular(w: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """The words of a property name that tell it from others, in the singular, in order, repeats kept."""
-    words = F.filter(F.split(predicate_key(text), " "), lambda w: (F.length(w) > 1) & ~w.isin(PREDICATE_STOPWORDS))
+    stop = literal_array(PREDICATE_STOPWORDS)
+    words = F.filter(F.split(predicate_key(text), " "), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
     return F.transform(words, singular)
 
 
@@ -54,7 +56,7 @@ def opposed_words(a: Column, b: Column) -> Column:
     """Whether one list has a qualifier whose opposite is in the other."""
     out = F.lit(False)
     for group in ANTONYM_GROUPS:
-        g = F.array(*map(F.lit, group))
+        g = literal_array(group)
         x, y = F.array_intersect(a, g), F.array_intersect(b, g)
         out = out | ((F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y))
     return out

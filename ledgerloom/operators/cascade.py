@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import periods, similarity, text, values
+from ledgerloom.functions.keys import literal_array
 from ledgerloom.functions.lexicon import AGGREGATE_SCOPES, RATE_TERMS, REVISION_RANK, RULES, STATUS_OPPOSITES
 from ledgerloom.operators.matching import pair_id, with_entity_gate, with_predicate_gate
 
@@ -140,7 +141,7 @@ def compare(pairs: DataFrame, t: Tolerance = Tolerance()) -> DataFrame:
         "a_words": text.content_words(F.col("a_predicate")), "b_words": text.content_words(F.col("b_predicate")),
     })
     context = ["period_v", *[f"{f}_v" for f in FIELDS]]
-    rates = F.array(*map(F.lit, RATE_TERMS))
+    rates = literal_array(RATE_TERMS)
     bare = lambda s: F.col(f"{s}u_currency").isNull() & ~F.col(f"{s}u_percent") & (F.col(f"{s}u_scale") == 1.0) & (F.coalesce(f"{s}u_raw", F.lit("")) == "")
     df = df.withColumns({
         "differs": F.array_contains(F.array(*context), "different"), "unknown": F.array_contains(F.array("unit_v", *context), "unknown"),

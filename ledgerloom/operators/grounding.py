@@ -78,10 +78,13 @@ def score(claims: DataFrame, grounded: str = "grounding_score", located: str = "
     s, present = F.coalesce(grounded, F.lit(0.0)), F.col("value_in_span")
     found = F.coalesce(located, F.lit(False)) & (s >= GROUNDED)
     missing = F.coalesce(~present, F.lit(False))
-    conf = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s * F.when(missing, 0.5).otherwise(1.0))), 4)
+    # Rounded as decimals: a tie is decided by what is written, not by the nearest binary fraction.
+    halved = s.cast("decimal(18,8)") * F.when(missing, F.lit("0.5").cast("decimal(2,1)")).otherwise(F.lit("1.0").cast("decimal(2,1)"))
+    conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(halved, 4).cast("double")))
     sure = F.round(F.coalesce("extraction_confidence", F.lit(0.0)), 4)
     df = claims.withColumns({"grounding_conf": conf, "is_quarantined": ~found | missing})
-    df = df.withColumn("combined", F.round(sure * F.col("grounding_conf"), 4))
+    exact = sure.cast("decimal(10,4)") * F.col("grounding_conf").cast("decimal(10,4)")
+    df = df.withColumn("combined", F.round(exact, 4).cast("double"))
     df = df.withColumn("is_review", F.col("is_quarantined") | (F.col("combined") < REVIEW))
     stated = F.array_compact(F.array(
         F.when(~found, "evidence not located"), F.when(missing, "numbers not in evidence"), F.when(F.coalesce("page_shift", F.lit(0)) != 0, "evidence on another page"), F.when(sure < 0.5, "extractor unsure"),

@@ -46,7 +46,7 @@ class Reference:
 def split_key(key: Column) -> list[Column]:
     """Range and position of a hexadecimal key; null for any other. Width is part of the range: '0a' isn't 'a'."""
     hexa = key.rlike(f"^[0-9a-f]{{1,{HEX_DIGITS}}}$")
-    padded = F.lpad(key, LOW, "0")
+    padded = F.lpad(key, F.greatest(F.length(key), F.lit(LOW)), F.lit("0"))
     head = F.concat_ws(":", F.length(key).cast("string"), F.substring(padded, 1, F.length(padded) - LOW))
     return [F.when(hexa, head).alias("bucket"), F.when(hexa, F.conv(F.substring(padded, -LOW, LOW), 16, 10).cast("long")).alias("pos")]
 
