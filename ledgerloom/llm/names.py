@@ -211,9 +211,9 @@ def link(spellings: DataFrame, column: str, register: DataFrame, key: str, name:
     unique keys; the weights of tokens are counted over it.
     """
     spark = spellings.sparkSession
-    gram_udf = F.pandas_udf(lambda s: s.map(grams), "array<string>")
-    acronym_udf = F.pandas_udf(lambda s: s.map(acronym), "string")
-    initials_udf = F.pandas_udf(lambda s: s.map(initials), "string")
+    gram_udf = F.pandas_udf(lambda s: s.map(grams, na_action="ignore"), "array<string>")
+    acronym_udf = F.pandas_udf(lambda s: s.map(acronym, na_action="ignore"), "string")
+    initials_udf = F.pandas_udf(lambda s: s.map(initials, na_action="ignore"), "string")
 
     distinct = spellings.select(F.col(column).alias("x")).filter(F.col("x").rlike(r"\p{L}")).distinct()
     distinct = save(distinct.select("x", gram_udf("x").alias("gx"), acronym_udf("x").alias("ax")))
@@ -233,7 +233,7 @@ def link(spellings: DataFrame, column: str, register: DataFrame, key: str, name:
     near = sized.filter(F.size(F.array_intersect("gx", "gy")) >= F.ceil(F.size("gx") * CONTAINED)).select("x", "k", "y", "kind")
 
     n = max(1, named.count())
-    counts = named.select(F.explode(F.pandas_udf(lambda s: s.map(lambda t: sorted(set(tokens(t)))), "array<string>")("y")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    counts = named.select(F.explode(F.pandas_udf(lambda s: s.map(lambda t: sorted(set(tokens(t))), na_action="ignore"), "array<string>")("y")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     words = {w: df for w, df in counts.collect()}  # the register's words: bounded by its size, which is fixed
     weight = {w: math.log(1 + n / df) * (0.15 if w in LEGAL else 1) for w, df in words.items()}
     common = frozenset(w for w, df in words.items() if df >= 4)
@@ -255,6 +255,6 @@ def link(spellings: DataFrame, column: str, register: DataFrame, key: str, name:
 
 def variants(spellings: DataFrame, column: str, register: DataFrame, key: str, name: str, kind: str) -> DataFrame:
     """The rows of ``link`` whose spelling differs from the registered name in letters, accents or digits or their order."""
-    letters_udf = F.pandas_udf(lambda s: s.map(letters), "string")
+    letters_udf = F.pandas_udf(lambda s: s.map(letters, na_action="ignore"), "string")
     linked = link(spellings, column, register, key, name, kind).join(register.select(key, F.col(name).alias("_name")), key)
     return linked.filter(letters_udf(column) != letters_udf("_name")).drop("_name")
