@@ -61,8 +61,8 @@ def test_lcs_against_dynamic_programming():
 
 @pytest.mark.parametrize(
     "a, b, same",
-    [("Delhivery Limited", "Delhivery Ltd.", True), ("Delhivery", "Delhivery Limited", True), ("India", "Republic of India", True), ("Reserve Bank of India", "RBI", True),
-     ("International Monetary Fund", "IMF", True), ("Delhivery", "DHL", False), ("India", "Indonesia", False), ("Acme Corp", "Republic of India", False), ("", "India", False)],
+    [("Dolvery Limited", "Dolvery Ltd.", True), ("Dolvery", "Dolvery Limited", True), ("India", "Republic of India", True), ("Reserve Bank of India", "RBI", True),
+     ("International Monetary Fund", "IMF", True), ("Dolvery", "DLV", False), ("India", "Indonesia", False), ("Acme Corp", "Republic of India", False), ("", "India", False)],
 )
 def test_entities(spark, a, b, same):
     assert matching.with_entity_gate(spark.createDataFrame([(a, b)], "a string, b string"), "a", "b").first().ent_ok is same
