@@ -106,3 +106,12 @@ def test_no_quantities(spark):
     got = {r.claim_id: r.status for r in harmonise(rows).collect()}
     assert got == {"a": "none", "b": "none", "c": "none", "d": "review", "e": "review"}
     assert harmonise(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "stated, unit, amount",
+    [("unit: kWh", "kwh", 5), ("(Unit: bps)", "ppm", 500), ("unit: million litres", "l", 5_000_000), ("Units in sq km", "m2", 5_000_000), ("unit = ft", "m", 2), ("unit: units", "count", 5), ("mn units", "count", 5_000_000), ("units in lakhs", "count", 500_000), ("Units", "count", 5)],
+)
+def test_labelled_units(spark, stated, unit, amount):
+    row = harmonise(claims(spark, ("a", "5", None, stated))).first()
+    assert (row.status, row.common_unit, row.amount) == ("stated", unit, amount)
