@@ -38,9 +38,13 @@ _ESCAPED = "".join(f"\\x{{{ord(c):x}}}" for c in sorted(LOOKALIKES.keys() | LIGA
 SUSPECT = rf"[\x{{1ab0}}-\x{{1aff}}\x{{1cd0}}-\x{{1cff}}\x{{1dc0}}-\x{{1dff}}\x{{20d0}}-\x{{20ff}}\x{{ff01}}-\x{{ffee}}\p{{Mn}}\p{{Me}}\p{{Cf}}\p{{Zl}}\p{{Zp}}\x{{1d400}}-\x{{1d7ff}}\x{{34f}}\x{{115f}}\x{{1160}}\x{{3164}}\x{{212a}}{_ESCAPED}]|[\p{{Zs}}&&[^ ]]"
 
 
+def beyond_ascii(text: Column) -> Column:
+    return F.octet_length(text) > F.char_length(text)
+
+
 def suspect(text: Column) -> Column:
     """Whether a text may hold a disguise. Comparing lengths first spares plain texts the pattern."""
-    return (F.octet_length(text) > F.char_length(text)) & text.rlike(SUSPECT)
+    return beyond_ascii(text) & text.rlike(SUSPECT)
 
 
 def _wide(c: str) -> bool:
@@ -112,17 +116,19 @@ def unify(texts: DataFrame, keys: list[str], column: str) -> DataFrame:
     """keys, text, form, skeleton, disguised for every row of ``texts``.
 
     Null texts give null form and skeleton and aren't disguised; empty texts are their own form. Texts of
-    any length are handled whole. Only texts with a suspicious character leave the JVM.
+    any length are handled whole. ASCII texts are their own skeleton and stay in the JVM; all others get
+    theirs in Python, also those that can't be a disguise, as their accents decompose too.
     """
     schema = "form string, skeleton string"
 
     @F.pandas_udf(schema)
     def forms(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame({"form": [consistent(t) for t in s], "skeleton": [skeleton(consistent(t)) for t in s]})
+            form = [consistent(t) for t in s]
+            yield pd.DataFrame({"form": form, "skeleton": [skeleton(t) for t in form]})
 
     base = texts.select(*keys, F.col(column).alias("text"))
-    odd = F.coalesce(suspect(F.col("text")), F.lit(False))
+    odd = F.coalesce(beyond_ascii(F.col("text")), F.lit(False))
     plain = base.filter(~odd).select("*", F.col("text").alias("form"), F.col("text").alias("skeleton"), F.lit(False).alias("disguised"))
     return base.filter(odd).withColumn("f", forms("text")).select(*base.columns, "f.form", "f.skeleton", (F.col("f.form") != F.col("text")).alias("disguised")).unionByName(plain)
 

@@ -170,6 +170,13 @@ def test_unify(spark):
     assert confusables.disguised(df.limit(0), ["id"], "t").count() == 0
 
 
+def test_same_look_of_accented_texts(spark):
+    rows = [(1, "Pervíldix stood at 5 – net"), (2, "Pervíl\u200bdix stood at 5 – net"), (3, "Pervi\u0301ldix stood at 5 – net"), (4, "Pervildix stood at 5 – net"), (5, "отчёт"), (6, "отчёт\u200b")]
+    df = frame(spark, rows, "id int, t string")
+    groups = {(r.rows, r.originals, r.disguised_rows) for r in confusables.same_look(df, ["id"], "t").collect()}
+    assert groups == {(3, 3, 2), (2, 2, 1)}
+
+
 def test_jvm_filter_lets_every_disguise_pass(spark):
     odd = [c for c in map(chr, range(0x21, 0x10000)) if not 0xD800 <= ord(c) < 0xE000]
     texts = [f"ab{c}cd" for c in odd]
