@@ -22,8 +22,6 @@ CYRILLIC = dict(zip("аеорсухіјѕԁһӏԛԝмткнвгпьАВЕКМН
 GREEK = dict(zip("αινοροϲϳυκτωΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "aivopocjuktwABEZHIKMNOPTYXCJ"))
 ARMENIAN = dict(zip("օոսհցքԼՏՍՕ", "onuhgpLSUO"))
 LATIN_LIKE = dict(zip("ɑɡıⅼⅰⅴⅹⅽⅾⅿⅠⅤⅩⅬⅭⅮⅯℓ", "agilivxcdmIVXLCDMl"))
-# Lower-case letters that look like small capitals, not like the Latin letter, only count towards a skeleton.
-LOOSE = frozenset("мткнвгпькτκωαυɩ")
 LOOKALIKES = CYRILLIC | GREEK | ARMENIAN | LATIN_LIKE
 LIGATURES = frozenset(map(chr, range(0xFB00, 0xFB07)))
 SPACES = frozenset(c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("Zs", "Zl", "Zp") and c != " ")
@@ -79,7 +77,7 @@ def _word(m: regex.Match) -> str:
     word = m.group()
     bare = "".join(c for c in word if c not in INVISIBLE)
     if any(LATIN.match(c) and c not in LOOKALIKES or _wide(c) or c in LIGATURES for c in bare):
-        return "".join(LOOKALIKES[c] if c in LOOKALIKES and c not in LOOSE else c for c in word)
+        return "".join(LOOKALIKES.get(c, c) for c in word)
     return word
 
 
@@ -112,6 +110,16 @@ def _compose(cluster: str) -> str:
     return MARK.sub("", unicodedata.normalize("NFC", cluster))
 
 
+def read_look(text: str) -> tuple[str, str]:
+    """Form and skeleton of a text. The skeleton decides: a text that its composed skeleton gives again holds
+    no disguise. Of the others ``consistent`` then keeps what is legitimate."""
+    bones = skeleton(text)
+    if _compose(bones) == text:
+        return text, bones
+    form = consistent(text)
+    return form, bones if form == text else skeleton(form)
+
+
 def unify(texts: DataFrame, keys: list[str], column: str) -> DataFrame:
     """keys, text, form, skeleton, disguised for every row of ``texts``.
 
@@ -124,8 +132,7 @@ def unify(texts: DataFrame, keys: list[str], column: str) -> DataFrame:
     @F.pandas_udf(schema)
     def forms(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            form = [consistent(t) for t in s]
-            yield pd.DataFrame({"form": form, "skeleton": [skeleton(t) for t in form]})
+            yield pd.DataFrame([read_look(t) for t in s], columns=["form", "skeleton"])
 
     base = texts.select(*keys, F.col(column).alias("text"))
     odd = F.coalesce(beyond_ascii(F.col("text")), F.lit(False))

@@ -170,6 +170,17 @@ def test_unify(spark):
     assert confusables.disguised(df.limit(0), ["id"], "t").count() == 0
 
 
+def test_every_look_alike_in_a_latin_word_is_found(spark):
+    rows = [(c, f"ab{c}cd") for c in confusables.LOOKALIKES] + [("1", "pαyment"), ("2", "banк"), ("3", "банк τκω"), ("4", "Pervíldix – α"), ("5", "q\u0303x")]
+    got = {r.id: r.form for r in confusables.disguised(frame(spark, rows, "id string, t string"), ["id"], "t").collect()}
+    assert got == {c: f"ab{p}cd" for c, p in confusables.LOOKALIKES.items()} | {"1": "payment", "2": "bank", "5": "qx"}
+
+
+def test_skeleton_decides_before_the_exclusions():
+    odd = [c for c in map(chr, range(0x21, 0x30000)) if not 0xD800 <= ord(c) < 0xE000]
+    assert [c for c in odd if confusables.read_look(f"ab{c}cd")[0] != confusables.consistent(f"ab{c}cd")] == []
+
+
 def test_same_look_of_accented_texts(spark):
     rows = [(1, "Pervíldix stood at 5 – net"), (2, "Pervíl\u200bdix stood at 5 – net"), (3, "Pervi\u0301ldix stood at 5 – net"), (4, "Pervildix stood at 5 – net"), (5, "отчёт"), (6, "отчёт\u200b")]
     df = frame(spark, rows, "id int, t string")
