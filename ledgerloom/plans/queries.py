@@ -63,9 +63,12 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    """The corpus as pages: passages of one page number of one file are one after the other."""
-    docs = table(spark, sf, "documents").filter("text is not null and source_doc_id is not null")
-    return docs.select(F.concat_ws("#", clean_key("source_doc_id"), F.col("doc_id").cast("string")).alias("doc_id"), F.coalesce("page_no", F.lit(1)).alias("page_no"), F.col("text").alias("raw"))
+    """The corpus as files and their pages: the passages of one page stand below each other, by doc_id. A passage without a file is one itself."""
+    docs = table(spark, sf, "documents").filter("text is not null")
+    file = F.coalesce(clean_key("source_doc_id"), F.concat(F.lit("#"), F.col("doc_id").cast("string")))
+    passages = F.sort_array(F.collect_list(F.struct("doc_id", "text")))
+    pages = docs.groupBy(file.alias("doc_id"), F.coalesce("page_no", F.lit(1)).alias("page_no")).agg(passages.alias("p"))
+    return pages.select("doc_id", "page_no", F.array_join("p.text", "\n").alias("raw"))
 
 
 def _passages(spark: SparkSession, sf: str) -> DataFrame:
@@ -439,15 +442,15 @@ def proper_noun_counts(spark, sf):
 
 
 def detected_entities(spark, sf):
-    return extraction.detect_entities(extraction.page_lines(_passages(spark, sf))).select("doc_id", "primary", F.size("known").alias("known"))
+    return extraction.detect_entities(extraction.page_lines(_pages(spark, sf))).select("doc_id", "primary", F.size("known").alias("known"))
 
 
 def extracted_claims(spark, sf):
-    return extraction.extract_claims(_passages(spark, sf)).select("doc_id", "page_no", "subject", "predicate", "value", "value_num", "ctx_period", "extraction_rule")
+    return extraction.extract_claims(_pages(spark, sf)).select("doc_id", "page_no", "subject", "predicate", "value", "value_num", "ctx_period", "extraction_rule")
 
 
 def ingest_pages(spark, sf):
-    return engine(spark, sf).ingest(_passages(spark, sf)).select("claim_id", "grounded", "grounding_score", "is_quarantined", "is_review")
+    return engine(spark, sf).ingest(_pages(spark, sf)).select("claim_id", "grounded", "grounding_score", "is_quarantined", "is_review")
 
 
 def grounded_spans(spark, sf):
