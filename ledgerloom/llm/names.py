@@ -1,11 +1,15 @@
 """Hand-typed spellings linked to a register of names.
 
 Candidates come from a set-similarity join: every distinct spelling and every registered name is a set
-of q-grams of its tokens; a spelling matches a name if at least ``CONTAINED`` of its grams are the
-name's. Grams are ordered from rare to frequent (counted over the register), and only a spelling's
-prefix of |x| - ceil(t |x|) + 1 grams is looked up, which can't miss a match: a name that shares none
-of them shares too few. Candidates are verified by a soft similarity of tokens in which typing errors,
-abbreviations, initials and nicknames count as near matches and rare tokens count more.
+of q-grams of its tokens, each weighing the more the rarer it is in the register. A name may be meant by a
+spelling if it holds ``CONTAINED`` of the spelling's grams, by number, and ``WEIGHED`` of them by weight.
+Grams are ordered from rare to frequent, and only a spelling's prefix is looked up, up to the gram
+behind which less than ``WEIGHED`` of the weight remains: a name that shares none of them shares too
+little. Candidates are verified by a soft similarity of tokens in which typing errors, abbreviations,
+initials and nicknames count as near matches and rare tokens count more.
+
+Counts over the register are kept by hash, in tables of ``BUCKETS`` numbers whatever its size; two grams
+in one bucket only weigh a little less, alike in every step, so no candidate is lost by it.
 
 Spellings are reduced to distinct ones before anything else, so a name with a third of all rows is
 compared once.
@@ -16,17 +20,20 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.sources.scratch import drop, save
+from ledgerloom.sources.scratch import save
 
 Q = 3
-CONTAINED = 0.3
+CONTAINED, WEIGHED = 0.3, 0.4
+BUCKETS = 1 << 18
 ACCEPT = 0.8
 
 # Words around names.
@@ -39,16 +46,52 @@ SHORT_FORMS = {
     "intl": "international", "tpt": "transport", "trpt": "transport", "svcs": "services", "svc": "services", "engg": "engineering", "mfg": "manufacturing", "govt": "government", "natl": "national",
     "dept": "department", "assn": "association", "assoc": "association", "auth": "authority", "tech": "technologies", "pharma": "pharmaceuticals",
 }
-# Given names and what people are called for short.
+# Given names and the short forms that no rule derives from them, in English, French, German, Italian, Russian, Spanish and Indian use.
 NICKNAMES = {
-    "michael": "mike mick micky", "elizabeth": "liz beth betty lizzie eliza lisa", "alexander": "sandy alex sasha", "francisco": "paco pancho curro", "anthony": "tony", "beatriz": "bea",
-    "katherine": "kathy kate katie kit", "meenakshi": "meenu meena", "lakshmi": "lachu laxmi", "wilhelmina": "mina willa minna", "genevieve": "ginette gen viv", "johannes": "hannes jo hans",
-    "samuel": "sam sammy", "oluwaseun": "seun", "deborah": "debbie deb debby", "margaret": "maggie meg peggy greta", "victoria": "vicky vic tori", "william": "bill will billy", "benjamin": "ben benny",
-    "robert": "bob rob bobby", "richard": "dick rick rich", "nicholas": "nick nico nicky", "christopher": "chris kit topher", "theodore": "ted theo teddy", "friedrich": "fritz fred freddy", "jennifer": "jen jenny",
-    "jose": "pepe", "guadalupe": "lupe lupita", "therese": "tess tessa resi", "rajendra": "raj raju", "siddharth": "sid", "edward": "ed ted ned eddie", "sebastien": "seb bastien", "leonora": "nora leo",
-    "dominique": "dom domi nika", "gwendolyn": "gwen", "tamsin": "tam tammy", "yusuf": "yusi joe", "jurgen": "jurg", "ingrid": "inge",
+    "abigail": "gail nabby", "abraham": "bram", "adelaide": "heidi della", "agnes": "nessa inez", "albert": "bert bertie", "alberto": "beto", "aleksandr": "sasha shura", "alexander": "sandy sasha xander lex", "alexandra": "sandra sandy sasha",
+    "alfonso": "poncho fonso", "alfred": "fred freddie", "alice": "lisa elsie", "amelia": "milly emmy mia", "andrew": "drew dandy", "ann": "nancy nan annie", "anna": "nancy anya anouk", "anthony": "tony", "antonio": "tonio tonino tono",
+    "arthur": "art archie", "augustus": "gus", "barbara": "babs bobbie", "bartholomew": "bart tolly", "benedict": "ben dick", "bernard": "barney bernie", "bridget": "biddy bride", "caroline": "carrie lina", "catherine": "kate kathy katie kit kitty cat",
+    "cecilia": "cissy celia", "charles": "charlie chuck chas chaz chip", "charlotte": "lottie charlie lotte", "christina": "tina chris christy", "christine": "tina chris christy", "christopher": "kit topher kester", "concepcion": "concha conchita",
+    "cornelius": "con neil", "cynthia": "cindy", "daniel": "danny dan", "deborah": "debbie deb", "dmitri": "dima mitya", "dolores": "lola lolita", "dorothy": "dot dolly dottie thea", "eduardo": "lalo edu", "edward": "ted ned teddy eddie", "eleanor": "nell nora ellie lena",
+    "elizabeth": "betty bess lisa eliza libby liz beth lizzie elsie bettina", "elisabeth": "sissi lisa liesl lisbeth", "emmanuel": "manny manu", "enrique": "kike quique", "ernest": "ernie", "esther": "hetty", "eugene": "gene", "evgeny": "zhenya", "florence": "flo flossie",
+    "frances": "fanny fran frankie", "francis": "frank frankie", "francisco": "paco pancho curro kiko", "frederick": "fritz fred freddie", "friedrich": "fritz fred", "genevieve": "ginette viv", "george": "geordie dod", "gerald": "gerry jerry", "gertrude": "trudy gert",
+    "gregory": "greg grisha", "gregorio": "goyo", "guadalupe": "lupe lupita", "gwendolyn": "wendy", "harold": "harry hal", "harriet": "hattie", "helen": "nell nellie lena", "henry": "harry hank hal", "herbert": "bert bertie", "ignacio": "nacho", "isabella": "bella ella izzy", "isabel": "bella belle izzy",
+    "ivan": "vanya", "jacob": "jake jakob", "jacqueline": "jackie", "james": "jim jimmy jamie", "jane": "jenny janie", "janet": "jenny", "jean": "jenny jeannie", "jennifer": "jenny", "jeremiah": "jerry", "jesus": "chuy chucho", "joan": "joanie", "johannes": "hans hannes jan", "john": "jack johnny jock",
+    "jonathan": "jon nathan", "jose": "pepe pepito chepe", "josef": "sepp jupp", "joseph": "joe joey jody", "josephine": "josie jo fifi", "katherine": "kate kathy katie kit kitty", "kathleen": "kathy kate kay", "konstantin": "kostya", "lawrence": "larry laurie", "leonard": "lenny len", "leopold": "poldi",
+    "leticia": "lety", "louis": "lou louie", "louise": "lou lulu", "lucia": "lucy", "ludwig": "lutz wiggi", "luis": "lucho", "lydia": "liddy", "magdalena": "lena leni", "manuel": "manolo manny", "margaret": "peggy meg maggie madge daisy greta rita peg maisie", "margarita": "rita", "maria": "mia mimi masha mitzi",
+    "martha": "patty matty", "martin": "marty", "mary": "molly polly mamie mae minnie may", "matilda": "tilly maud", "matthew": "matt matty", "maximilian": "max", "melissa": "missy lissa", "mercedes": "merche", "michael": "mike mick mickey mikey misha", "mikhail": "misha", "mildred": "millie", "montgomery": "monty",
+    "nathaniel": "nat nate", "nicholas": "nick klaus colin nicky", "nikolai": "kolya", "olga": "olya", "oliver": "noll ollie", "pamela": "pam", "patricia": "patty tricia trish pat patsy", "patrick": "paddy pat rick", "pavel": "pasha", "penelope": "penny", "peter": "pete", "philip": "pip phil flip", "pilar": "pili",
+    "priscilla": "cilla", "rachel": "shelley", "raymond": "ray", "rebecca": "becky", "reginald": "reggie rex", "richard": "dick rick rich richie ricky", "robert": "bob rob bobby robbie bert", "roberto": "beto", "roger": "hodge", "ronald": "ron ronnie", "rosario": "charo", "rosemary": "rosie romy", "rudolf": "rudi rolf", "rufus": "rory",
+    "salvador": "chava", "samantha": "sam", "samuel": "sam", "sarah": "sally sadie", "santiago": "santi yago", "sebastian": "bastian seb", "sergei": "seryozha", "sigmund": "siggi", "sofia": "sonya", "stephen": "steve", "susan": "sue susie suzy", "susanna": "sanna sue", "svetlana": "sveta", "sylvester": "sly", "tatiana": "tanya",
+    "teresa": "tess tessa tere resi terry", "theodore": "ted teddy", "theresa": "tess tessa terry resi", "therese": "tess tessa resi", "thomas": "tom tommy", "timothy": "tim", "valentina": "tina valya", "veronica": "ronnie vera", "victoria": "vicky tori vita", "vincent": "vince", "virginia": "ginny ginger", "vladimir": "volodya vova",
+    "walter": "walt wat", "wilhelm": "willi", "wilhelmina": "minnie billie", "william": "bill billy will liam", "winifred": "freda win", "zachary": "zach zack",
 }
-_CALLED = {short: {full for full, shorts in NICKNAMES.items() if short in shorts.split()} for shorts in NICKNAMES.values() for short in shorts.split()}
+_CALLED: dict[str, set[str]] = {}
+for _full, _shorts in NICKNAMES.items():
+    for _short in _shorts.split():
+        _CALLED.setdefault(_short, set()).add(_full)
+# What a pet form is made with: an ending after the name's beginning, whose last consonant may double.
+PET_ENDINGS = ("", "y", "ie", "i", "ey", "a", "u", "o", "e", "ita", "ito")
+
+
+@lru_cache(200_000)
+def called(typed: str, name: str) -> bool:
+    """Whether a given name's bearer may be called ``typed``: a known short form, the name's first three letters or
+    more with a pet ending (Deb, Debby, Sammy, Raju), or its last four letters or more (Nora of Leonora)."""
+    if name in _CALLED.get(typed, ()):
+        return True
+    if typed in NICKNAMES:  # a full name of its own
+        return False
+    if len(name) >= len(typed) + 2 and len(typed) >= 4 and name.endswith(typed):
+        return True
+    for end in PET_ENDINGS:
+        stem = typed[: len(typed) - len(end)] if end else typed
+        if typed.endswith(end) and 3 <= len(stem) < len(name):
+            if name.startswith(stem):
+                return True
+            if end and len(stem) > 3 and stem[-1] == stem[-2] and name.startswith(stem[:-1]):
+                return True
+    return False
 
 
 def plain(text: str) -> str:
@@ -131,7 +174,7 @@ def alike(typed: str, name: str, common: bool, person: bool) -> float:
         return 1.0
     if person and len(typed) == 1:
         return 0.8 if typed == name[0] else 0.0
-    if person and name in _CALLED.get(typed, ()):
+    if person and called(typed, name):
         return 0.95
     most = _allowed(min(len(typed), len(name)))
     if most and (d := edits(typed, name, most)) <= most:
@@ -148,14 +191,57 @@ def alike(typed: str, name: str, common: bool, person: bool) -> float:
     return 0.0
 
 
-def similarity(typed: str, name: str, kind: str, weight: dict[str, float], common: frozenset[str]) -> float:
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.encode()) % BUCKETS
+
+
+def _counts(words: DataFrame) -> np.ndarray:
+    """How often each bucket of words occurs: at most BUCKETS rows come to the driver."""
+    spread = words.groupBy((F.crc32(F.encode("w", "UTF-8")) % BUCKETS).alias("b")).agg(F.count("*").alias("n")).toPandas()
+    out = np.zeros(BUCKETS, dtype=np.int64)
+    out[spread["b"].to_numpy(dtype=np.int64)] = spread["n"].to_numpy(dtype=np.int64)
+    return out
+
+
+def prefix(of: list[str], counts: np.ndarray, n: int) -> list[str]:
+    """The grams of a spelling, rare ones first, up to the last that a name with ``WEIGHED`` of their weight may share
+    first; without those that no name has."""
+    df = {g: int(counts[_bucket(g)]) for g in of}
+    order = sorted(of, key=lambda g: (df[g], g))
+    # A gram that no name has tells nothing: typing errors make them. It counts as little as the most frequent one.
+    weight = {g: math.log(1 + n / df[g]) if df[g] else math.log(2) for g in of}
+    left, need, out = sum(weight.values()), WEIGHED * sum(weight.values()), []
+    for g in order:
+        if left < need:
+            break
+        if df[g]:
+            out.append(g)
+        left -= weight[g]
+    return out
+
+
+class Rarity:
+    """Weights of the register's words."""
+
+    def __init__(self, n: int, counts: np.ndarray):
+        self.n, self.counts, self.known = n, counts, {}
+
+    def __getitem__(self, word: str) -> tuple[float, bool]:
+        """(weight, common): a word that is common in the register may be abbreviated."""
+        if word not in self.known:
+            df = int(self.counts[_bucket(word)])
+            self.known[word] = (math.log(1 + self.n / df) * (0.15 if word in LEGAL else 1) if df else 8.0, df >= 4)
+        return self.known[word]
+
+
+def similarity(typed: str, name: str, kind: str, rarity: Rarity) -> float:
     """Soft weighted token similarity, 0 to 1; 0 if a word that tells entities apart has no counterpart."""
     person = kind == "person"
     x, y = list(tokens(typed)), tokens(name)
     surname = max(range(len(y)), key=lambda i: (i > 0, len(y[i]) > 1 and i == _surname(y))) if person else -1
     got = [0.0] * len(y)
     free = list(range(len(x)))
-    pairs = sorted(((alike(x[i], y[j], y[j] in common or y[j] in LEGAL, person and len(y[j]) > 1), -abs(i - j), i, j) for i in free for j in range(len(y))), reverse=True)
+    pairs = sorted(((alike(x[i], y[j], rarity[y[j]][1] or y[j] in LEGAL, person and len(y[j]) > 1), -abs(i - j), i, j) for i in free for j in range(len(y))), reverse=True)
     used: set[int] = set()
     for s, _, i, j in pairs:
         if s > 0 and i not in used and not got[j] and not (person and j == surname and s < 0.7):
@@ -166,12 +252,12 @@ def similarity(typed: str, name: str, kind: str, weight: dict[str, float], commo
     for j, w in enumerate(y):
         if not got[j]:
             if not _optional(y, j, kind, surname):
-                return _glued(typed, name, weight, person)
+                return _glued(typed, name)
             continue
-        total += weight.get(w, 8.0)
-        hit += weight.get(w, 8.0) * got[j]
+        total += rarity[w][0]
+        hit += rarity[w][0] * got[j]
     if any(w not in LEGAL and not (person and len(w) == 1) for w in left):
-        return _glued(typed, name, weight, person)
+        return _glued(typed, name)
     legal_y = [y[j] for j in range(len(y)) if y[j] in LEGAL and not got[j]]
     if not person and any(w in LEGAL for w in left) and legal_y:
         return 0.0
@@ -190,7 +276,7 @@ def _optional(y: tuple[str, ...], j: int, kind: str, surname: int) -> bool:
     return y[j] in LEGAL
 
 
-def _glued(typed: str, name: str, weight: dict[str, float], person: bool) -> float:
+def _glued(typed: str, name: str) -> float:
     """Words written together or cut apart: the whole strings, with and without legal forms."""
     x, y = "".join(tokens(typed)), "".join(tokens(name))
     if len(x) > 5 and x.startswith("the") and not y.startswith("the"):
@@ -212,38 +298,33 @@ def link(spellings: DataFrame, column: str, register: DataFrame, key: str, name:
     """
     spark = spellings.sparkSession
     gram_udf = F.pandas_udf(lambda s: s.map(grams, na_action="ignore"), "array<string>")
-    acronym_udf = F.pandas_udf(lambda s: s.map(acronym, na_action="ignore"), "string")
+    named = register.select(F.col(key).alias("k"), F.col(name).alias("y"), F.lower(kind).alias("kind")).filter("y is not null")
     initials_udf = F.pandas_udf(lambda s: s.map(initials, na_action="ignore"), "string")
+    named = save(named.select("*", gram_udf("y").alias("gy"), initials_udf("y").alias("iy")))
+    n = max(1, named.count())
+    words_udf = F.pandas_udf(lambda s: s.map(lambda t: sorted(set(tokens(t))), na_action="ignore"), "array<string>")
+    gram_counts = spark.sparkContext.broadcast(_counts(named.select(F.explode("gy").alias("w"))))
+    shared = spark.sparkContext.broadcast((n, _counts(named.select(F.explode(words_udf("y")).alias("w")))))
+
+    @F.pandas_udf("gx array<string>, prefix array<string>, ax string")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        counts = gram_counts.value
+        for s in batches:
+            yield pd.DataFrame([(g := grams(t), prefix(g, counts, n), acronym(t)) for t in s], columns=["gx", "prefix", "ax"])
 
     distinct = spellings.select(F.col(column).alias("x")).filter(F.col("x").rlike(r"\p{L}")).distinct()
-    distinct = save(distinct.select("x", gram_udf("x").alias("gx"), acronym_udf("x").alias("ax")))
-    named = register.select(F.col(key).alias("k"), F.col(name).alias("y"), F.lower(kind).alias("kind")).filter("y is not null")
-    named = save(named.select("*", gram_udf("y").alias("gy"), initials_udf("y").alias("iy")))
-    rarity = named.select(F.explode("gy").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
-
-    # Grams no name has come first: they are the rarest, and a prefix of them finds nothing, rightly.
-    flat = distinct.select("x", F.explode("gx").alias("g"), F.size("gx").alias("nx"))
-    ranked = flat.join(rarity, "g", "left").groupBy("x", "nx").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))).alias("o"))
-    prefix = F.slice("o", F.lit(1), F.col("nx") - F.ceil(F.col("nx") * CONTAINED).cast("int") + 1)
-    asked = ranked.select("x", "nx", F.col("o.g").alias("gx"), F.explode(prefix).alias("p")).filter("p.df > 0").select("x", "gx", "nx", F.col("p.g").alias("g"))
-    held = named.select("k", "y", "kind", "gy", F.explode("gy").alias("g"))
-    pairs = asked.select("x", "g").join(held.select("k", "g"), "g").select("x", "k").distinct()
+    distinct = save(distinct.withColumn("r", read("x")).select("x", "r.*"))
+    asked = distinct.select("x", F.explode("prefix").alias("g"))
+    pairs = asked.join(named.select("k", F.explode("gy").alias("g")), "g").select("x", "k").distinct()
     # The count filter: enough grams in common over the whole sets, not only the prefix.
     sized = pairs.join(distinct.select("x", "gx"), "x").join(named.select("k", "y", "kind", "gy"), "k")
     near = sized.filter(F.size(F.array_intersect("gx", "gy")) >= F.ceil(F.size("gx") * CONTAINED)).select("x", "k", "y", "kind")
 
-    n = max(1, named.count())
-    counts = named.select(F.explode(F.pandas_udf(lambda s: s.map(lambda t: sorted(set(tokens(t))), na_action="ignore"), "array<string>")("y")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    words = {w: df for w, df in counts.collect()}  # the register's words: bounded by its size, which is fixed
-    weight = {w: math.log(1 + n / df) * (0.15 if w in LEGAL else 1) for w, df in words.items()}
-    common = frozenset(w for w, df in words.items() if df >= 4)
-    shared = spark.sparkContext.broadcast((weight, common))
-
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        w, c = shared.value
+        rarity = Rarity(*shared.value)
         for x, y, k in batches:
-            yield pd.Series([similarity(a, b, e, w, c) for a, b, e in zip(x, y, k)], dtype="float64")
+            yield pd.Series([similarity(a, b, e, rarity) for a, b, e in zip(x, y, k)], dtype="float64")
 
     verified = near.withColumn("score", score("x", "y", "kind")).filter(F.col("score") >= ACCEPT).select("x", "k", "score")
     short = distinct.filter("ax is not null").join(named.filter("kind <> 'person' and length(iy) >= 3"), F.col("ax") == F.col("iy")).select("x", "k", F.lit(0.9).alias("score"))

@@ -143,6 +143,32 @@ def test_edits():
     assert [names.edits(a, b, 2) for a, b in (("abc", "abc"), ("abc", "acb"), ("abcd", "abd"), ("abc", "xyz"), ("a", "abcd"))] == [0, 1, 1, 3, 3]
 
 
+@pytest.mark.parametrize("typed, name", [("jim", "james"), ("tom", "thomas"), ("joe", "joseph"), ("sue", "susan"), ("dave", "david"), ("raju", "rajendra"), ("sammy", "samuel"), ("nora", "leonora"), ("peg", "margaret")])
+def test_short_forms(typed, name):
+    assert names.called(typed, name)
+
+
+def test_full_names_are_no_short_forms():
+    assert not any(names.called(a, b) for a, b in (("mary", "martha"), ("anna", "annabel"), ("jo", "jonas"), ("james", "jameson"), ("bob", "william")))
+
+
+def test_prefix_misses_no_name_with_enough_weight():
+    rng = random.Random(8)
+    pool = [f"g{i}" for i in range(40)]
+    held = [set(rng.choices(pool, [1 / (i + 1) for i in range(40)], k=8)) for _ in range(60)]
+    counts = np.zeros(names.BUCKETS, dtype=np.int64)
+    for h in held:
+        for g in h:
+            counts[names._bucket(g)] += 1
+    weight = {g: np.log(1 + 60 / counts[names._bucket(g)]) if counts[names._bucket(g)] else np.log(2) for g in pool}
+    for _ in range(300):
+        typed = sorted(set(rng.choices(pool, k=9)))
+        kept = set(names.prefix(typed, counts, 60))
+        for h in held:
+            if sum(weight[g] for g in h & set(typed)) >= names.WEIGHED * sum(weight[g] for g in typed):
+                assert kept & h
+
+
 # 7. Look-alike text
 
 
@@ -171,9 +197,9 @@ def test_unify(spark):
 
 
 def test_every_look_alike_in_a_latin_word_is_found(spark):
-    rows = [(c, f"ab{c}cd") for c in confusables.LOOKALIKES] + [("1", "pαyment"), ("2", "banк"), ("3", "банк τκω"), ("4", "Pervíldix – α"), ("5", "q\u0303x")]
+    rows = [(c, f"ab{c}cd") for c in confusables.LOOKALIKES] + [("1", "pαyment"), ("2", "banк"), ("3", "банк τκω"), ("4", "Pervíldix – α"), ("5", "q\u0303x"), ("6", "Ꭺpple ꓐank ꓲncome Ⲣrice ⲟil Ꮯost"), ("7", "ꓐꓮ Ꭰ ⲟⲣ")]
     got = {r.id: r.form for r in confusables.disguised(frame(spark, rows, "id string, t string"), ["id"], "t").collect()}
-    assert got == {c: f"ab{p}cd" for c, p in confusables.LOOKALIKES.items()} | {"1": "payment", "2": "bank", "5": "qx"}
+    assert got == {c: f"ab{p}cd" for c, p in confusables.LOOKALIKES.items()} | {"1": "payment", "2": "bank", "5": "qx", "6": "Apple Bank Income Price oil Cost"}
 
 
 def test_skeleton_decides_before_the_exclusions():
