@@ -17,12 +17,24 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Letters of other scripts and their Latin prototypes.
-CYRILLIC = dict(zip("аеорсухіјѕԁһӏԛԝмткнвгпьАВЕКМНОРСТХУЅІЈԌҺԚԜӀ", "aeopcyxijsdhlqwmtkhbrnbABEKMHOPCTXYSIJGhQWI"))
-GREEK = dict(zip("αινοροϲϳυκτωΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "aivopocjuktwABEZHIKMNOPTYXCJ"))
-ARMENIAN = dict(zip("օոսհցքԼՏՍՕ", "onuhgpLSUO"))
-LATIN_LIKE = dict(zip("ɑɡıⅼⅰⅴⅹⅽⅾⅿⅠⅤⅩⅬⅭⅮⅯℓ", "agilivxcdmIVXLCDMl"))
-LOOKALIKES = CYRILLIC | GREEK | ARMENIAN | LATIN_LIKE
+# Latin letters and what looks like them in Cyrillic, Greek, Armenian, Cherokee, Lisu, Coptic, Canadian syllabics,
+# Runic, Lycian and Deseret, and among Latin letters, after the public list of confusables.
+PROTOTYPES = {
+    "a": "аαɑ", "b": "вьᏏ", "c": "сϲⲥꮯ", "d": "ԁꓒᏧ", "e": "еҽ", "f": "ք", "g": "ɡց", "h": "һհнᏂ", "i": "іιıɩᎥꭵ", "j": "јϳյ", "k": "кκ", "l": "ӏⅼ", "m": "м", "n": "пոη", "o": "оοօσѳⲟ𐐬", "p": "рρϱⲣ", "q": "ԛզ",
+    "r": "г", "s": "ѕꮪ", "t": "тτ", "u": "υսʋ", "v": "ѵνꮩ", "w": "ԝωաѡꮃ", "x": "хχ", "y": "уγү", "z": "ꮓ",
+    "A": "АΑᎪꓮᗅ", "B": "ВΒᏴⲂᗷꓐ𐊂", "C": "СϹᏟꓚⲤ", "D": "Ꭰꓓᗞᗪ", "E": "ЕΕᎬꓰ𐊆", "F": "Ϝꓝᖴ𐊇", "G": "ԌᏀꓖԍ", "H": "НΗᎻꓧⲎᕼ", "I": "ІΙӀꓲⲒᛁ𐊊", "J": "ЈͿᎫꓙᒍ", "K": "КΚᏦꓗⲔᛕ", "L": "ԼᏞꓡᒪ", "M": "МΜᎷꓟⲘᗰᛖ", "N": "ΝꓠⲚ",
+    "O": "ОΟՕꓳⲞ𐊒𐐄", "P": "РΡᏢꓑⲢᑭ𐊕", "Q": "Ԛ", "R": "ᎡᏒꓣᖇᚱ", "S": "ЅՏᏕᏚꓢ𐊖", "T": "ТΤᎢꓔⲦ𐊗", "U": "Սꓴᑌ", "V": "ѴᏙꓦᐯ", "W": "ԜᎳᏔꓪ", "X": "ХΧꓫⲬᚷ𐊐", "Y": "УΥҮᎽꓬⲨ", "Z": "ΖᏃꓜ",
+}
+# By rule: small capitals, and letterlike signs and numerals that stand for one Latin letter.
+LOOKALIKES = {c: p for p, cs in PROTOTYPES.items() for c in cs}
+LOOKALIKES |= {c: m[1].lower() for c in map(chr, range(0x0250, 0x1D30)) if (m := regex.match(r"LATIN LETTER SMALL CAPITAL ([A-Z])$", unicodedata.name(c, "")))}
+LOOKALIKES |= {c: n for c in map(chr, range(0x2102, 0x2190)) if (n := unicodedata.normalize("NFKC", c)) != c and len(n) == 1 and n.isascii() and n.isalpha() and c != "K"}
+# Punctuation that looks like ASCII punctuation: part of a skeleton, but no disguise by itself.
+POINTS = {
+    c: p
+    for p, cs in {"'": "‘’‛′ʹʼ´", '"': "“”‟″", "-": "‐‑‒–—−⁃˗", "/": "⁄∕", ":": "∶։׃", ".": "․٫", ",": "‚", "!": "ǃ", "<": "‹", ">": "›"}.items()
+    for c in cs
+}
 LIGATURES = frozenset(map(chr, range(0xFB00, 0xFB07)))
 SPACES = frozenset(c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("Zs", "Zl", "Zp") and c != " ")
 INVISIBLE = frozenset(c for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Cf" and not 0x0600 <= ord(c) <= 0x08FF) | {"͏", "ᅟ", "ᅠ", "឴", "឵", "ㅤ", "ﾠ"}
@@ -30,7 +42,7 @@ MARK = regex.compile(r"[\p{M}&&[\p{Script=Inherited}\p{Script=Common}]--[︀-️
 WORD = regex.compile(r"[\p{L}\p{M}\p{Nl}­​-‍⁠﻿]+")
 LATIN = regex.compile(r"\p{Script=Latin}")
 PICTURE = regex.compile(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}️]")
-# A cheap test in the JVM for what may be a disguise; what passes goes to Python in Arrow batches.
+# A cheap test in the JVM for what may be a disguise; what passes goes to Python in Arrow batches. Punctuation is none.
 _ESCAPED = "".join(f"\\x{{{ord(c):x}}}" for c in sorted(LOOKALIKES.keys() | LIGATURES))
 # Blocks of accents are named too: Java may not know their latest members.
 SUSPECT = rf"[\x{{1ab0}}-\x{{1aff}}\x{{1cd0}}-\x{{1cff}}\x{{1dc0}}-\x{{1dff}}\x{{20d0}}-\x{{20ff}}\x{{ff01}}-\x{{ffee}}\p{{Mn}}\p{{Me}}\p{{Cf}}\p{{Zl}}\p{{Zp}}\x{{1d400}}-\x{{1d7ff}}\x{{34f}}\x{{115f}}\x{{1160}}\x{{3164}}\x{{212a}}{_ESCAPED}]|[\p{{Zs}}&&[^ ]]"
@@ -56,6 +68,8 @@ def _styled(c: str) -> bool:
 def prototype(c: str) -> str:
     if c in LOOKALIKES:
         return LOOKALIKES[c]
+    if c in POINTS:
+        return POINTS[c]
     if c in INVISIBLE:
         return ""
     if c in SPACES:
@@ -102,7 +116,7 @@ def consistent(text: str) -> str:
     text = "".join(out)
     if MARK.search(text):
         # Compose an accent with its letter; an accent that no single character has is left out.
-        text = regex.sub(r"[\p{L}\p{N}]?" + MARK.pattern.replace("&&", "&&") + "+", lambda m: _compose(m.group()), text, flags=regex.V1)
+        text = regex.sub(r"[\p{L}\p{N}]?" + MARK.pattern + "+", lambda m: _compose(m.group()), text, flags=regex.V1)
     return text
 
 
