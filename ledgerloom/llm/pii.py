@@ -2,13 +2,19 @@
 
 The field is trained on the small labelled table of ``pii_labels`` by maximum likelihood (forward and
 backward in numpy) over features of words: the word where it is frequent in the table, its shape, its
-ending and its neighbours. Texts are decoded by Viterbi in numpy batches of chains of similar length.
-What a word contributes depends on the word alone, so scores are computed once per distinct word of a
-batch and gathered; texts of any length are decoded whole, line by line.
+ending, what it hints at (``CUES``), whether it lies in a run of characters that looks like a public
+format (``PATTERNS``), and the same of its neighbours. Patterns and cues decide nothing: the field weighs
+them, and a run that looks like a phone number beside "order" is none. Texts are decoded by Viterbi in
+numpy batches of chains of similar length. What a word contributes depends on the word and its patterns
+alone, so scores are computed once per distinct one of a batch and gathered; texts of any length are
+decoded whole, line by line.
 """
 
 from __future__ import annotations
 
+import random
+import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.names import NICKNAMES
 from ledgerloom.llm.pii_labels import labelled_texts
 
 KINDS = ("email", "phone", "id_number", "address", "person_name")
@@ -28,32 +35,103 @@ NL = len(LABELS)
 OFFSETS = (-4, -3, -2, -1, 0, 1, 2, 3, 4)
 PAD = ""
 # A token is a run without blanks, less the punctuation around it, which makes tokens of its own.
-TOKEN = regex.compile(r"\n|[\(\[\{<\"'«“‘¿¡](?!\d{1,5}\))|(?:[^\s,;:!?<>\"'«»“”’।\[\]{}()]|(?<=\d)\(\d+\)|\(\d{2,5}\)|(?<=\w)['’:](?=\w)|,(?=\d{3}))+?(?=[.,;:!?।\)\]\}>\"'»”’]*(?:\s|$)|[,;<>\[\]{}()«»“”।])|\S")
+TOKEN = re.compile(r"\n|[\(\[\{<\"'«“‘¿¡](?!\d{1,5}\))|(?:[^\s,;:!?<>\"'«»“”’।\[\]{}()]|(?<=\d)\(\d+\)|\(\d{2,5}\)|(?<=\w)['’:](?=\w)|,(?=\d{3}))+?(?=[.,;:!?।\)\]\}>\"'»”’]*(?:\s|$)|[,;<>\[\]{}()«»“”।])|\S")
 SHARE = 4
+# Hints of words, in five languages, of classes a reader goes by.
+CUES = {
+    "email": "email e-mail emails mail mailto courriel correo contact contacto kontakt write écrire écrivez schreiben escriba संपर्क ईमेल ई-मेल",
+    "phone": "phone phones telephone tel mobile cell fax call text ring dial hotline helpline whatsapp sms portable téléphone téléphoner appelez joindre telefon telefonisch mobil handy rufen anrufen erreichbar teléfono móvil llame llámeme फ़ोन फोन मोबाइल दूरभाष कॉल",
+    "id": "id ids passport identity identification ssn social security insurance licence license tax taxpayer pan aadhaar nino nif nie dni permit citizen voter holder holder's cardholder applicant applicant's signatory bearer personal papers document passeport identité titulaire identifiant pièce sécurité "
+    "reisepass personalausweis ausweis ausweisnummer steuernummer kennnummer sozialversicherungsnummer führerschein inhaber inhabers antragstellers pasaporte documento titular carné cédula identidad solicitante आधार पहचान पासपोर्ट पैन",
+    "address": "address addressed addresses lives live lived residence resides resident residing mailing domicile home moved delivered served notice notices domicilio adresse anschrift wohne wohnt wohnhaft lieferung zustellung habite demeure siège courrier dirección vivo reside notificaciones पता निवास",
+    "thing": "invoice order ticket serial batch contract container model case isbn commit lot ref reference build version hash table section page pages route gate flight code voucher part item tracking meter account room chapter price list figure bill series port samples readings reading timestamp edition article clause note "
+    "commande facture bestellung rechnung pedido factura artículo cuadro tableau tabelle abbildung seite página fassung आदेश तालिका पृष्ठ",
+    "title": "mr mrs ms miss dr prof professor sir herr frau mme mlle monsieur madame m sr sra don doña señora señor shri smt श्री श्रीमती",
+    "closing": "signed signature regards sincerely faithfully respectfully cordially truly thanks wishes signé signée cordialement gezeichnet unterzeichnet grüßen firmado firma atentamente हस्ताक्षर भवदीय",
+    "legal": "limited ltd plc inc llc gmbh ag s.a sa sarl corporation corp company co pvt incorporated holdings group bros brothers sons private",
+    "trade": "cement foods food energy shipping insurance logistics capital minerals steel motors airlines textiles chemicals trading software media partners industries finance financial services power pharma agricultural products oil gas international construction technologies systems transport transports mills works "
+    "estates properties retail foundation theorem associates infrastructure mining telecom solutions laboratories securities investments",
+    "office": "bank ministry department institute council office authority commission bureau committee board federal national central statistics agency university federation union parliament court chamber bulletin directorate secretariat association alliance survey",
+    "land": "kingdom republic federation state states province region district islands island territory north south east west northern southern eastern western central new",
+    "street": "road street lane avenue close drive terrace gardens place square way crescent court rd st ave blvd boulevard ln rue allée impasse quai chemin cours calle c/ avenida avda plaza paseo via marg nagar colony vihar enclave layout flat apt apartment unit suite plot house bis",
+}
+_CUE: dict[str, tuple[str, ...]] = {}
+for _kind, _words in CUES.items():
+    for _w in _words.split():
+        _CUE[_w] = (*_CUE.get(_w, ()), _kind)
+_CUE |= {w: (*_CUE.get(w, ()), "given") for full, shorts in NICKNAMES.items() for w in (full, *shorts.split())}
+# Runs of characters in public formats. Capital letter: its first token; small letter: its others.
+PATTERNS = {
+    "E": r"[\w.%+'-]+@[\w-]+(?:\.[\w-]+)+|[\w.%+-]+ ?[(\[] ?at ?[)\]] ?[\w-]+(?: ?(?:\.|[(\[] ?dot ?[)\]]) ?[\w-]+)+",
+    "U": r"(?:https?://|www\.)\S+|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])|(?<!\w)@\w+|\d{4}-\d\d-\d\dT\S+|97[89][ -][\d -]{9,14}\d|\b[0-9a-f]{16,}\b|\b\d{1,2}([./-])\d{1,2}\1\d{2,4}\b|\b\d{4}-\d\d-\d\d\b|\b(?:19|20)\d\d[-–/](?:19|20)?\d\d\b",
+    "P": r"(?<![\w.,/+\-])(?:(?:\+|00 ?)\d{1,3}[ .\-/]?(?:\(0?\d{0,4}\)[ .\-/]?)?\d[\d .\-/]{4,14}\d|\(0\d{1,4}\)[ .\-/]?\d[\d .\-/]{3,10}\d|0\d{1,4}[ .\-/]?\d[\d .\-/]{3,10}\d|\(\d{3}\) ?\d{3}[ .\-]?\d{4}|\d{3}[.\- ]\d{3}[.\- ]\d{4}|\d{3} \d{2} \d{2} \d{2}|[6-9]\d{4}[ -]?\d{5}|\d{3}-\d{4})(?!\w|-[^\W\d_]|[.,/\-]\d)",
+    "I": r"(?<![\w\-./])(?:\p{Lu}{1,6}[ -]?\d{5,10}(?:-?\p{Lu}|-\d{2,})?|\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|\d{4}([ -])\d{4}\1\d{4}|\p{Lu}{2}(?: ?\d\d){3} ?\p{Lu}|\d{8,12}-?\p{Lu}?|\p{Lu}-?\d{7}-?\p{Lu}|[12] \d\d \d\d \d\d \d{3} \d{3} \d\d|\d{2}/\d{3}/\d{5}|\p{Lu}+\d+\p{Lu}\d+|\p{Lu}{3,}\d{4}\p{Lu}|\p{Lu}\d\p{Lu}{2}\d{5})(?!\w|[.,/]\d|-\d)",
+    "Z": r"\b\p{Lu}{1,2}\d[\d\p{Lu}]? ?\d\p{Lu}{2}\b|\b\p{Lu}{2} \d{5}(?:-\d{4})?\b|(?<![\d.,])(?:\p{Lu}{1,2}-)?\d{5}(?= \p{Lu})|(?<=[\p{L},\-] )\d{3} ?\d{3}(?![\d.,]|\s?%)",
+}
+_PATTERN = {f: (re if f in "EP" and r"\p" not in p else regex).compile(p) for f, p in PATTERNS.items()}
+_SHOWS = {"E": regex.compile(r"@|[(\[] ?at ?[)\]]", regex.I), "U": regex.compile(r"\d|//|www|@")}
+_DIGIT = regex.compile(r"\d")
+PARTICLES = frozenset("de da do dos das del della der den di du la le van von zu bin ibn al el y e ter ten af av".split())
+# Between a token and the patterns it lies in; and the mark of a token whose letters are hidden in training.
+MARK, HIDDEN = "\x1f", "\x1e"
 
 
 def tokenise(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in TOKEN.finditer(text) if m.group() != "\n"]
 
 
-@lru_cache(200_000)
+def marked(text: str, spans: list[tuple[int, int]]) -> list[str]:
+    """The tokens of one line, each with the patterns it lies in."""
+    words = [text[a:b] for a, b in spans]
+    digit = _DIGIT.search(text) is not None
+    for f, pattern in _PATTERN.items():
+        # Nothing without a digit or an at sign fits a pattern.
+        if not (_SHOWS[f].search(text) if f in _SHOWS else digit):
+            continue
+        for m in pattern.finditer(text):
+            i = bisect_left(spans, (m.start(), 0))
+            if i and spans[i - 1][1] > m.start():
+                i -= 1
+            first = True
+            while i < len(spans) and spans[i][0] < m.end():
+                words[i] += (MARK if MARK not in words[i] else "") + (f if first else f.lower())
+                first = False
+                i += 1
+    return words
+
+
+_RUNS = [(re.compile("X{3,}"), "XX+"), (re.compile("d{6,}"), "d6+"), (re.compile("x{2,}"), "x+")]
+_STREET_END = re.compile(r"...(?:straße|strasse|str|weg|gasse|allee|platz|ring|hof)$")
+
+
 def shape(word: str) -> str:
-    s = regex.sub(r"\p{Lu}", "X", word)
-    s = regex.sub(r"[\p{Ll}\p{Lo}]", "x", s)
-    s = regex.sub(r"\d", "d", s)
-    s = regex.sub(r"X{3,}", "XX+", s)
-    return regex.sub(r"x{2,}", "x+", regex.sub(r"d{6,}", "d6+", s))
+    """X for capitals, x for other letters, d for digits; long runs are shortened."""
+    s = "".join("X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c for c in word)
+    for run, short in _RUNS:
+        s = run.sub(short, s)
+    return s
 
 
 @lru_cache(200_000)
-def features(word: str) -> tuple[str, ...]:
-    if word == PAD:
+def features(token: str) -> tuple[str, ...]:
+    if token == PAD:
         return ("pad",)
+    hidden = token.endswith(HIDDEN)
+    word, _, flags = token.rstrip(HIDDEN).partition(MARK)
     low = word.lower()
-    out = [f"w={low}", f"s={shape(word)}"]
+    form = shape(word)
+    out = [f"s={form}"] + [f"f={f}" for f in dict.fromkeys(flags)]
+    if not flags:
+        out.append(f"bare={form if len(form) < 4 else form[:3]}")
+    bare = low.strip(".:'’-")
+    cues = _CUE.get(bare) or _CUE.get(bare.removesuffix("'s").removesuffix("’s")) or (("street",) if _STREET_END.search(bare) else ())
+    out += [f"cue={c}" for c in cues]
+    if not hidden:
+        out.append(f"w={low}")
     if word.isalpha():
-        out.append("alpha:" + ("U" if word.isupper() and len(word) > 1 else "T" if word[0].isupper() else "l") + ("1" if len(word) == 1 else "+"))
-        out.append(f"e={low[-3:]}")
+        out.append("alpha:" + ("U" if word.isupper() and len(word) > 1 else "T" if word[0].isupper() else "l") + ("1" if len(word) == 1 else "+") + ("c" if cues and cues != ("given",) else ""))
+        if not hidden:
+            out.append(f"e={low[-3:]}")
     elif any(c.isdigit() for c in word):
         digits = sum(c.isdigit() for c in word)
         out.append(f"digits={min(digits, 12)}:{'a' if any(c.isalpha() for c in word) else 'n'}")
@@ -62,19 +140,18 @@ def features(word: str) -> tuple[str, ...]:
     elif any(c.isalpha() for c in word):
         out.append("mixed=" + "".join(sorted({c for c in word if not c.isalnum()})))
         out.append("mixed:" + ("T" if word[0].isupper() else "l"))
-        out.append(f"e={low[-3:]}")
-    if "@" in word[1:-1]:
-        out.append("at")
     return tuple(out)
 
 
-def _matrix(words: list[str], index: dict[str, int]) -> np.ndarray:
-    m = np.zeros((len(words), len(index)), dtype=np.float32)
-    for i, w in enumerate(words):
-        for f in features(w):
-            if (j := index.get(f)) is not None:
-                m[i, j] = 1
-    return m
+def _scores(words: list[str], index: dict[str, int], weights: np.ndarray) -> np.ndarray:
+    """(offset, word, label): what each word contributes at each offset, the sum of the weights of its features."""
+    wide = np.concatenate([weights.transpose(1, 0, 2).reshape(len(index), -1), np.zeros((1, len(OFFSETS) * NL), dtype=np.float32)])
+    parts = []
+    for i in range(0, len(words), 4096):
+        rows = [[j for f in features(w) if (j := index.get(f)) is not None] + [len(index)] for w in words[i : i + 4096]]
+        starts = np.cumsum([0] + [len(r) for r in rows[:-1]])
+        parts.append(np.add.reduceat(wide[np.concatenate(rows)], starts, axis=0))
+    return np.ascontiguousarray(np.concatenate(parts).reshape(len(words), len(OFFSETS), NL).transpose(1, 0, 2))
 
 
 def _emissions(ids: np.ndarray, tables: np.ndarray, pad: int) -> np.ndarray:
@@ -108,7 +185,7 @@ class Tagger:
         known: dict[str, int] = {}
         coded = [np.array([known.setdefault(w, len(known)) for w in c], dtype=np.int64) for c in chains]
         words = [*known, PAD]
-        tables = np.stack([np.concatenate([_matrix(words[i : i + 4096], self.index) @ w for i in range(0, len(words), 4096)]) for w in self.weights])
+        tables = _scores(words, self.index, self.weights)
         out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(chains)
         order = sorted((i for i in range(len(chains)) if len(coded[i])), key=lambda i: len(coded[i]))
         at = 0
@@ -148,9 +225,11 @@ class Tagger:
         return path
 
 
-def train(texts: list[tuple[str, list[tuple[int, int, str]]]], steps: int = 100, rate: float = 0.15, l2: float = 2e-3) -> Tagger:
-    """Maximum likelihood with adaptive gradient steps; deterministic."""
+def train(texts: list[tuple[str, list[tuple[int, int, str]]]], steps: int = 100, rate: float = 0.15, l2: float = 2e-3, hide: float = 0.35) -> Tagger:
+    """Maximum likelihood with adaptive gradient steps; deterministic. ``hide``: the share of words outside items whose
+    letters are hidden, so that the field doesn't learn sentences by heart."""
     chains, gold = [], []
+    rng = random.Random(5)
     for text, items in texts:
         spans = tokenise(text)
         labels = np.zeros(len(spans), dtype=np.int64)
@@ -159,7 +238,7 @@ def train(texts: list[tuple[str, list[tuple[int, int, str]]]], steps: int = 100,
             for k, i in enumerate(inside):
                 labels[i] = LABELS.index(("B-" if k == 0 else "I-") + kind)
         if spans:
-            chains.append([text[a:b] for a, b in spans])
+            chains.append([w + HIDDEN if label == 0 and rng.random() < hide else w for w, label in zip(marked(text, spans), labels)])
             gold.append(labels)
     known: dict[str, int] = {}
     coded = [[known.setdefault(w, len(known)) for w in c] for c in chains]
@@ -245,12 +324,15 @@ def _exact(kind: str, text: str) -> bool:
     if kind == "email":
         return bool(regex.search(r"\S\s*(?:@|[(\[]\s*at\s*[)\]])\s*\S+\s*(?:\.|[(\[]\s*dot\s*[)\]])\s*\w", text, regex.I))
     if kind == "phone":
-        return 7 <= digits <= 15 and "/" not in text
+        return 7 <= digits <= 15
     if kind == "id_number":
         return digits >= 4 and "," not in text
     if kind == "address":
-        return digits >= 1 and any(c.isalpha() for c in text)
-    return bool(regex.search(r"\p{L}{2}", text)) and not digits and "@" not in text
+        return digits >= 1 and bool(regex.search(r"\p{L}{4}", text))
+    if digits or "@" in text or not regex.match(r"\p{L}.*\p{L}{2}", text) or regex.search(r"\p{Ll}{3}[.:;!?]\s", text):
+        return False
+    # Every part begins with a capital or has no case, particles aside.
+    return all(not w[0].islower() or w in PARTICLES for w in regex.findall(r"[\p{L}\p{M}'’.]+", text) if w[0].isalpha())
 
 
 def items(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
@@ -261,7 +343,7 @@ def items(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
         for line in text.split("\n"):
             spans = [(a + at, b + at) for a, b in tokenise(line)]
             if spans:
-                chains.append([text[a:b] for a, b in spans])
+                chains.append(marked(line, [(a - at, b - at) for a, b in spans]))
                 home.append((n, spans))
             at += len(line) + 1
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
@@ -279,6 +361,8 @@ def items(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
             cut = piece.rstrip(" ,;:!?।>)]\"'»”" if kind != "phone" else " ,;:!?।>]\"'.")
             if kind in ("email", "address", "id_number"):
                 cut = cut.rstrip(".")
+            elif kind == "phone":  # digits and what separates them
+                cut = regex.match(r"[\d+()\s.\-/]*(?![\d\p{L}])", cut).group().rstrip(" .-/(\t")
             if _exact(kind, cut):
                 found[n].append((a, a + len(cut), kind))
             i = j

@@ -276,25 +276,46 @@ def test_mix(spark):
 # 10. Personal information
 
 
-def test_tagger_on_held_out_sentences():
-    tagger = pii.default_tagger()
-    held = pii_labels.labelled_texts(4, seed=77)
+def test_tagger_on_frames_it_has_not_seen():
+    tagger = pii.train(pii_labels.labelled_texts(part=0))
+    held = pii_labels.labelled_texts(8, seed=77, part=1)
     right = found = true = 0
     for (text, gold), got in zip(held, pii.items([t for t, _ in held], tagger)):
         right += len(set(gold) & set(got))
         found += len(got)
         true += len(gold)
-    assert right / true > 0.93 and right / found > 0.95
+    assert right / true > 0.85 and right / found > 0.9
+
+
+FREE = {
+    "You can email jane.doe@contoso.com with any documents.": [("email", "jane.doe@contoso.com")],
+    "Text me at 555-867-5309 tonight.": [("phone", "555-867-5309")],
+    "My SSN is 123-45-6789.": [("id_number", "123-45-6789")],
+    "Please give this to Robert Miller before noon.": [("person_name", "Robert Miller")],
+    "Dr. Susan Calvin wrote the paper.": [("person_name", "Susan Calvin")],
+    "I live at 742 Evergreen Terrace, Springfield, OR 97403.": [("address", "742 Evergreen Terrace, Springfield, OR 97403")],
+    "Nurse Betty Cooper said so.": [("person_name", "Betty Cooper")],
+    "Tel. 0711/123456": [("phone", "0711/123456")],
+    "Order 123-4567 shipped.": [],
+    "The contract with Tata Steel Limited ends in 2024.": [],
+    "Invoice 2021/0045 of 12.03.2021 for Siemens AG.": [],
+    "The office of Johnson & Johnson is closed.": [],
+}
+
+
+def test_free_sentences():
+    found = pii.items(list(FREE), pii.default_tagger())
+    assert {t: [(k, t[a:b]) for a, b, k in f] for t, f in zip(FREE, found)} == FREE
 
 
 def test_items_and_placeholders(spark):
-    texts = ["Signed, Anna Dorwick\nCall +44 7700 900123 during office hours.", "Contact: a.norrby@desk.test", "The Harbour Road corridor stayed closed.", "", "   ", None, "Headcount rose. " * 3000 + "Signed, Marek Varnby"]
+    texts = ["Regards, Anna Miller\nPhone: +44 20 7946 0123, ask for the manager.", "Email: a.norris@desk.test", "The Harbour Road bridge stayed closed.", "", "   ", None, "Headcount rose. " * 3000 + "Regards, Mark Varney"]
     df = frame(spark, list(enumerate(texts)), "doc_id long, text string").withColumn("items", F.lit("clash"))
     got = {r.doc_id: r for r in pii.find_items(df, "doc_id", "text").collect()}
     assert set(got) == {0, 1, 2, 3, 4, 6}
-    assert {(i.kind, i.text) for i in got[0]["items"]} == {("person_name", "Anna Dorwick"), ("phone", "+44 7700 900123")}
-    assert got[0].redacted == "Signed, [PERSON_NAME]\nCall [PHONE] during office hours." and got[1].redacted == "Contact: [EMAIL]"
-    assert [got[i].redacted for i in (2, 3, 4)] == texts[2:5] and got[6].redacted.endswith("Signed, [PERSON_NAME]")
+    assert {(i.kind, i.text) for i in got[0]["items"]} == {("person_name", "Anna Miller"), ("phone", "+44 20 7946 0123")}
+    assert got[0].redacted == "Regards, [PERSON_NAME]\nPhone: [PHONE], ask for the manager." and got[1].redacted == "Email: [EMAIL]"
+    assert [got[i].redacted for i in (2, 3, 4)] == texts[2:5] and got[6].redacted.endswith("Regards, [PERSON_NAME]")
     assert pii.find_items(df.limit(0), "doc_id", "text").count() == 0
 
 
