@@ -2,8 +2,10 @@
 
 Texts are split into words by the vocabulary's own pattern in the JVM. Each distinct word is encoded
 once (in Arrow batches, by the library that owns the vocabulary); ids return to the texts by a join on
-the word and are put in order by position. Frequent words are few and hold most occurrences, so they
-come from a broadcast of bounded size and never shuffle; the rest joins by shuffle.
+the word and take their word's position. Frequent words are few and hold most occurrences: their ids
+come from a broadcast of bounded size and are looked up where the text is, a column of words at a time.
+Only the rare words of a text, each once with its number in the text, travel to the table and back, and
+the text's ids meet them there; a text without rare words never leaves its task.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ import base64
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,13 +71,52 @@ def _hot(table: DataFrame) -> DataFrame:
     return table.filter(F.length("_word") <= HOT_LENGTH).orderBy(F.desc("n"), "_word").limit(HOT_WORDS)
 
 
-def _joined(words: DataFrame, table: DataFrame, value: str) -> DataFrame:
-    """``words`` with ``value`` of the table: frequent words by broadcast, the others by shuffle."""
-    hot = F.broadcast(_hot(table).select("_word", F.col(value).alias("_v")))
-    tried = words.join(hot, "_word", "left")
-    near = tried.filter("_v is not null").select("_key", "_pos", "_v")
-    far = tried.filter("_v is null").select("_key", "_pos", "_word").join(table.select("_word", F.col(value).alias("_v")), "_word")
-    return near.unionByName(far.select("_key", "_pos", "_v"))
+def _known_ids(docs: DataFrame, key: str, text: str, table: DataFrame) -> DataFrame:
+    """(_key, ids, rare): the ids of every text with -1 - i for its i-th rare word, and its distinct rare words."""
+    top = _hot(table).select("_word", "ids").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((top.column("_word").combine_chunks(), top.column("ids").combine_chunks()))
+    kind = dict(docs.dtypes)[key]
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, ids = shared.value
+        for batch in batches:
+            lists = batch.column("_words")
+            flat = lists.flatten()
+            at = pc.index_in(flat, words)
+            cut = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+            missing = np.nonzero(at.is_null().to_numpy(zero_copy_only=False))[0]
+            # A rare word's id is its number among the text's rare words.
+            rare: list[list[str]] = [[] for _ in range(len(batch))]
+            own = np.searchsorted(cut, missing, side="right") - 1
+            number, seen, last = np.zeros(len(missing), dtype=np.int64), {}, -1
+            for m, (row, word) in enumerate(zip(own.tolist(), flat.take(pa.array(missing)).to_pylist())):
+                if row != last:
+                    seen, last = {}, row
+                if word not in seen:
+                    seen[word] = len(rare[row])
+                    rare[row].append(word)
+                number[m] = seen[word]
+            found = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.asarray(ids.offsets)
+            size = (starts[found + 1] - starts[found]) if len(ids) else np.zeros(len(found), dtype=np.int64)
+            size[missing] = 1
+            ends = np.cumsum(size)
+            take = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+            values = np.asarray(ids.values) if len(ids) else np.zeros(1, dtype=np.int32)
+            out = values[np.minimum(np.repeat(starts[found] if len(ids) else found, size) + take, len(values) - 1)].astype(np.int32)
+            out[ends[missing] - 1] = -1 - number
+            offsets = np.concatenate([[0], ends])[cut].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(out)), pa.array(rare, pa.list_(pa.string()))], names=["_key", "ids", "rare"])
+
+    split = F.regexp_extract_all(F.col(text), F.lit(WORDS), F.lit(0))
+    return docs.select(F.col(key).alias("_key"), F.coalesce(split, F.array().cast("array<string>")).alias("_words")).mapInArrow(look_up, f"_key {kind}, ids array<int>, rare array<string>")
+
+
+def _rare_ids(known: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """(_k, r): for each text its rare words' value of the table, in order of their numbers."""
+    asked = known.filter(F.size("rare") > 0).select(F.col("_key").alias("_k"), F.posexplode("rare").alias("_i", "_word"))
+    met = asked.join(table.select("_word", F.col(value).alias("_v")), "_word")
+    return met.groupBy("_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("r"))
 
 
 def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str | None = None) -> DataFrame:
@@ -81,23 +124,37 @@ def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str | None =
 
     Null and empty texts have an empty list, defined as ``[]``. Texts are encoded whole, at any length.
     """
-    words = occurrences(docs, key, text)
-    table = word_table(words, vocabulary)
-    parts = _joined(words, table, "ids")
-    lists = parts.groupBy("_key").agg(F.collect_list(F.struct("_pos", "_v")).alias("_l"))
-    ids = F.flatten(F.transform(F.array_sort("_l"), lambda x: x["_v"]))
-    known = lists.select(F.col("_key").alias(key), ids.alias("ids"))
-    none = docs.filter(F.coalesce(F.col(text), F.lit("")) == "").select(key, F.array().cast("array<int>").alias("ids"))
-    return known.unionByName(none)
+    table = word_table(occurrences(docs, key, text), vocabulary)
+    known = save(_known_ids(docs, key, text, table))
+    kind = dict(docs.dtypes)[key]
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ids, rare in zip(batch.column("ids"), batch.column("r").to_pylist()):
+                x = np.asarray(ids.values)
+                holes = np.nonzero(x < 0)[0]
+                parts, at = [], 0
+                for h in holes.tolist():
+                    parts += [x[at:h], np.array(rare[-1 - x[h]], dtype=np.int32)]
+                    at = h + 1
+                out.append(np.concatenate([*parts, x[at:]]))
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(out, pa.list_(pa.int32()))], names=[key, "ids"])
+
+    rare = _rare_ids(known, table, "ids")
+    mixed = known.filter(F.size("rare") > 0).join(rare, F.col("_key").eqNullSafe(F.col("_k"))).select("_key", "ids", "r").mapInArrow(fill, f"`{key}` {kind}, ids array<int>")
+    return mixed.unionByName(known.filter(F.size("rare") == 0).select(F.col("_key").alias(key), "ids"))
 
 
 def token_counts(docs: DataFrame, key: str, text: str, vocabulary: str | None = None) -> DataFrame:
-    """(key, tokens) for every row of ``docs``; 0 for null and empty texts."""
-    words = occurrences(docs, key, text)
-    table = word_table(words, vocabulary).withColumn("tokens", F.size("ids"))
-    sums = _joined(words, table, "tokens").groupBy("_key").agg(F.sum("_v").alias("tokens"))
-    known = sums.select(F.col("_key").alias(key), "tokens")
-    return known.unionByName(docs.filter(F.coalesce(F.col(text), F.lit("")) == "").select(key, F.lit(0).cast("long").alias("tokens")))
+    """(key, tokens) for every row of ``docs`` (``key`` must be unique); 0 for null and empty texts."""
+    table = word_table(occurrences(docs, key, text), vocabulary)
+    known = _known_ids(docs, key, text, table.withColumn("ids", F.array(F.size("ids"))))
+    rest = save(known.select("_key", "rare", F.aggregate(F.filter("ids", lambda x: x >= 0), F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.transform(F.filter("ids", lambda x: x < 0), lambda x: -1 - x).alias("holes")))
+    rare = _rare_ids(rest, table.withColumn("tokens", F.size("ids").cast("long")), "tokens")
+    held = F.aggregate("holes", F.lit(0).cast("long"), lambda a, i: a + F.get("r", i))
+    mixed = rest.filter(F.size("rare") > 0).join(rare, F.col("_key").eqNullSafe(F.col("_k"))).select(F.col("_key").alias(key), (F.col("n") + held).alias("tokens"))
+    return mixed.unionByName(rest.filter(F.size("rare") == 0).select(F.col("_key").alias(key), F.col("n").alias("tokens")))
 
 
 def pieces(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:
