@@ -109,6 +109,24 @@ def test_vectors(spark):
     assert vectors.similar_pairs(few.limit(0), "id", "e", 5, 2).count() == 0
 
 
+def test_dense_region_is_cut_and_lonely_queries_ask_everywhere(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=8) * 3 + 0.01 * rng.normal(size=(900, 8)), rng.normal(size=(60, 8))]).astype(np.float32)
+    ids = [f"v{i:04}" for i in range(len(x))]
+    df = frame(spark, [(i, [float(f) for f in v]) for i, v in zip(ids, x)], "id string, e array<float>")
+    for name, value in (("LIST_SIZE", 4), ("BLOCK", 60), ("ASK_BLOCK", 80), ("WHOLE_BLOCK", 200)):
+        monkeypatch.setattr(vectors, name, value)
+    sizes, plain = spark.sparkContext.accumulator(0), vectors.compare
+
+    def watched(pdf, k, dims):
+        sizes.add(int(len(pdf) > 600))
+        return plain(pdf, k, dims)
+
+    monkeypatch.setattr(vectors, "compare", watched)
+    got = {r.id: [n.id for n in r.near] for f in vectors.nearest(df, "id", "e", 5, 8) for r in f.collect()}
+    assert sizes.value == 0 and all(len(set(v)) == 5 for v in got.values()) and set(got) == set(ids)
+
+
 def test_graph_walk_finds_near_centroids():
     rng = np.random.default_rng(1)
     c = rng.normal(size=(700, 24)).astype(np.float32)
