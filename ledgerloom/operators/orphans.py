@@ -2,16 +2,18 @@
 
 Keys are hexadecimal. Their integer value is compressed into runs of consecutive integers inside
 ranges of the key space; a reference is matched to the run that starts last at or before it and is an
-orphan if it lies beyond the run's end. A run carries what is known about each of its keys in order
-(when it first came, whether it is deleted), so position ``key - start`` answers the other questions.
-With random keys most runs hold one key and nothing is compressed; with dense keys a run holds
-thousands, which is what the method is for. Keys that aren't hexadecimal numbers of at most
-``HEX_DIGITS`` digits are matched by equality.
+orphan if it lies beyond the run's end. A run also knows when the first and the last of its keys came
+and whether any is deleted, which settles most keys inside it (all, if the run is one key); those that
+are left, near a deleted key or a late one, look their own key up. With random keys most runs hold one
+key and nothing is compressed; with dense keys a run holds up to a slice's thousands, which is what the
+method is for. Keys that aren't hexadecimal numbers of at most ``HEX_DIGITS`` digits are matched by
+equality.
 
 Scale: references are reduced to distinct keys (combined before the shuffle, so a key with a third of
 all references is one row per task) before they meet the runs. Both sides share one hash partitioning
-by range of the key space; the as-of match is one sort inside it. Only the keys found suspicious go
-back to the referring rows.
+by slice of the key space, ``SLICE`` positions at most, so the as-of match never sorts more than that at
+a time, however dense the keys. A run is a row of fixed size. Only the keys found suspicious go back to
+the referring rows.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from ledgerloom.functions.keys import clean_key
 HEX_DIGITS = 30
 # The last LOW digits of a key are its position within a range; what stands before them names the range.
 LOW = 15
+# Positions of a slice, as a power of two: 65,536. Runs end at a slice's edge.
+SLICE = 16
 
 
 @dataclass(frozen=True)
@@ -52,20 +56,16 @@ def split_key(key: Column) -> list[Column]:
 
 
 def parent_runs(parents: DataFrame) -> DataFrame:
-    """Runs of consecutive positions within a range: bucket, start, end, state (one entry per position).
+    """Runs of consecutive positions within a slice: bucket, slice, start, end, first_at and last_at of its keys, dead (any), all_dead.
 
     ``parents`` has one row per key: bucket, pos, first_at, dead.
     """
-    # Ranges are as fine as the head of the key; a range with very many keys is cut into slices of 2^40
-    # positions, and a run ends at the edge of its slice, so no sort holds more than a slice.
     order = Window.partitionBy("bucket", "slice").orderBy("pos")
-    stepped = parents.withColumn("slice", F.shiftright("pos", 40)).withColumn("rank", F.row_number().over(order))
-    runs = stepped.groupBy("bucket", (F.col("pos") - F.col("rank")).alias("island"), "slice")
+    stepped = parents.withColumn("slice", F.shiftright("pos", SLICE)).withColumn("rank", F.row_number().over(order))
+    runs = stepped.groupBy("bucket", "slice", (F.col("pos") - F.col("rank")).alias("island"))
     return runs.agg(
-        F.min("pos").alias("start"),
-        F.max("pos").alias("end"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "first_at", "dead"))), lambda x: F.struct(x.first_at.alias("first_at"), x.dead.alias("dead"))).alias("state"),
-    )
+        F.min("pos").alias("start"), F.max("pos").alias("end"), F.max("first_at").alias("last_at"), F.bool_or("dead").alias("dead"), F.bool_or(F.col("first_at").isNull()).alias("undated")
+    ).drop("island")
 
 
 def parent_states(parent: DataFrame, key: str, at: str, table: str, deletions: DataFrame) -> DataFrame:
@@ -83,20 +83,25 @@ def suspicious_keys(keys: DataFrame, states: DataFrame) -> DataFrame:
     asked = keys.select("key", "earliest", *split_key(F.col("key")))
     known = states.select("key", "first_at", "dead", *split_key(F.col("key")))
     runs = parent_runs(known.filter("bucket is not null")).select(
-        "bucket", "slice", F.col("start").alias("pos"), F.lit(0).alias("asks"), F.struct("start", "end", "state").alias("run"),
+        "bucket", "slice", F.col("start").alias("pos"), F.lit(0).alias("asks"), F.struct("start", "end", "last_at", "dead", "undated").alias("run"),
         F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("earliest"),
     )
     asks = asked.filter("bucket is not null").select(
-        "bucket", F.shiftright("pos", 40).alias("slice"), "pos", F.lit(1).alias("asks"), F.lit(None).cast(runs.schema["run"].dataType).alias("run"), "key", "earliest"
+        "bucket", F.shiftright("pos", SLICE).alias("slice"), "pos", F.lit(1).alias("asks"), F.lit(None).cast(runs.schema["run"].dataType).alias("run"), "key", "earliest"
     )
     before = Window.partitionBy("bucket", "slice").orderBy("pos", "asks").rowsBetween(Window.unboundedPreceding, 0)
     asof = runs.unionByName(asks).withColumn("run", F.last("run", ignorenulls=True).over(before)).filter("asks = 1")
-    inside = F.col("pos") <= F.col("run.end")
-    state = F.when(inside, F.get("run.state", (F.col("pos") - F.col("run.start")).cast("int")))
-    matched = asof.select("key", "earliest", state.alias("state"))
-    others = asked.filter("bucket is null").join(known.filter("bucket is null").select("key", F.struct("first_at", "dead").alias("state")), "key", "left").select("key", "earliest", "state")
+    inside, alone = F.coalesce(F.col("pos") <= F.col("run.end"), F.lit(False)), F.col("run.start") == F.col("run.end")
+    # Beyond the run, or in a run of one key: settled. In a longer one if none of its keys is dead or came after the reference.
+    clean = ~F.col("run.dead") & ~F.col("run.undated") & F.coalesce(F.col("run.last_at") <= F.col("earliest"), F.lit(False))
+    state = F.struct(F.col("run.last_at").alias("first_at"), F.col("run.dead").alias("dead"))
+    matched = asof.select("key", "earliest", (~inside | alone | clean).alias("settled"), F.when(inside, state).alias("state"))
+    matched = matched.filter(~F.col("settled") | F.col("state").isNull() | F.col("state.dead") | F.col("state.first_at").isNull() | ~F.coalesce(F.col("state.first_at") <= F.col("earliest"), F.lit(False)))
+    settled = matched.filter("settled").select("key", "earliest", "state")
+    open_keys = matched.filter(~F.col("settled")).select("key", "earliest").unionByName(asked.filter("bucket is null").select("key", "earliest"))
+    others = open_keys.join(states.select("key", F.struct("first_at", "dead").alias("state")), "key", "left").select("key", "earliest", "state")
     live = F.when(~F.col("state.dead"), F.col("state.first_at"))
-    found = matched.unionByName(others).select("key", "earliest", live.alias("first_at"), F.coalesce(F.col("state.dead"), F.lit(True)).alias("never"))
+    found = settled.unionByName(others).select("key", "earliest", live.alias("first_at"), F.coalesce(F.col("state.dead"), F.lit(True)).alias("never"))
     return found.filter("never or first_at > earliest").select("key", "first_at", "never")
 
 

@@ -227,8 +227,23 @@ def test_orphans(spark):
 
 
 def test_runs(spark):
-    df = spark.createDataFrame([("b", p, 1.0, False) for p in (5, 6, 7, 9)], "bucket string, pos long, first_at double, dead boolean")
-    assert sorted((r.start, r.end) for r in orphans.parent_runs(df).collect()) == [(5, 7), (9, 9)]
+    edge = 1 << orphans.SLICE
+    df = spark.createDataFrame([("b", p, 1.0, False) for p in (5, 6, 7, 9, edge - 1, edge, edge + 1)], "bucket string, pos long, first_at double, dead boolean")
+    assert sorted((r.start, r.end) for r in orphans.parent_runs(df).collect()) == [(5, 7), (9, 9), (edge - 1, edge - 1), (edge, edge + 1)]
+
+
+def test_dense_keys(spark):
+    """A million keys in a row: runs end at slices, and only keys near a deleted or late one are looked up."""
+    n = 1_000_000
+    key = F.format_string("%020x", F.col("id"))
+    parents = spark.range(n).select(key.alias("claim_id"), F.when(F.col("id") == 777_777, 99.0).otherwise(1.0).alias("created_at"))
+    runs = orphans.parent_runs(parents.select(*orphans.split_key(F.col("claim_id")), F.col("created_at").alias("first_at"), F.lit(False).alias("dead")))
+    assert runs.agg(F.count("*"), F.max(F.col("end") - F.col("start"))).first()[:] == (-(-n // 65_536), 65_535)
+    rows = spark.range(0, n + 5, 5).select(F.concat(F.lit("r"), F.col("id")).alias("relation_id"), key.alias("claim_a_id"), F.lit(5.0).alias("created_at"))
+    rows = rows.unionByName(spark.createDataFrame([("late", f"{777_777:020x}", 5.0), ("gone", f"{123_456:020x}", 5.0)], rows.schema))
+    gone = spark.createDataFrame([("claims", f"{123_456:020x}", 2.0)], "target_table string, target_key string, deleted_at double")
+    ref = orphans.Reference(rows, "relations", "claim_a_id", "relation_id", "created_at", parents, "claim_id", "created_at", "claims")
+    assert {r.row_id for r in orphans.orphan_references([ref], gone).collect()} == {"late", "gone", f"r{n}"}
 
 
 def test_store(spark, tmp_path):
