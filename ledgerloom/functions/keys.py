@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\r\u000b\f "
@@ -29,3 +29,14 @@ def literal_map(table: dict[str, float | str]) -> Column:
 def literal_array(words: list[str]) -> Column:
     """A constant array of strings, parsed in one go."""
     return F.expr("array(" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in words) + ")")
+
+
+def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds (or replaces) columns that are computed once per row, however often later steps refer to them.
+
+    The optimizer moves filters below projections by writing the projected expressions out wherever they are referred to,
+    which repeats expensive ones many times over; it doesn't move them below an explode, here of one row.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*df.columns, made.alias("_staged")).select(*kept, "_staged.*")

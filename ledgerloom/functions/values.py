@@ -12,6 +12,9 @@ NUMBER = r"[-+]?\(?\s*\d[\d,\s]*(?:\.\d+)?\s*\)?"
 WORD = r"[a-z₹$€£¥%.]+"
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _PLAIN = "".join(map(chr, range(0x21, 0x7F)))
+_ODD, _ODD_PLAIN = "–—−    　¹²³", "---     123"
+# The same table for Python.
+FOLDED = str.maketrans(_WIDE + _ODD, _PLAIN + _ODD_PLAIN)
 
 
 def fold(text: Column) -> Column:
@@ -19,7 +22,7 @@ def fold(text: Column) -> Column:
 
     This is the part of compatibility folding that numbers and units meet; it stays in the JVM.
     """
-    t = F.translate(F.coalesce(text, F.lit("")), _WIDE + "–—−    　¹²³", _PLAIN + "---     123")
+    t = F.translate(F.coalesce(text, F.lit("")), _WIDE + _ODD, _PLAIN + _ODD_PLAIN)
     return F.btrim(t, F.lit(" \t\n\r\u000b\f"))
 
 

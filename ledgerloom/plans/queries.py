@@ -48,18 +48,29 @@ def engine(spark: SparkSession, sf: str) -> Engine:
     return Engine(table(spark, sf, "document_store"), table(spark, sf, "claims"), table(spark, sf, "relations"))
 
 
-def _claims(spark: SparkSession, sf: str) -> DataFrame:
-    return engine(spark, sf).claim_rows()
+def _claims(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return engine(spark, sf).claim_rows(*columns)
 
 
-def _relations(spark: SparkSession, sf: str) -> DataFrame:
-    return engine(spark, sf).relation_rows()
+def _relations(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return engine(spark, sf).relation_rows(*columns)
+
+
+def _ends(spark: SparkSession, sf: str) -> DataFrame:
+    rels = _relations(spark, sf, "claim_a_id", "claim_b_id")
+    return rels.select("relation_id", F.col("claim_a_id").alias("a_id"), F.col("claim_b_id").alias("b_id"))
+
+
+def _raw_pairs(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Stored relations with columns of both claims as they are."""
+    claims = _claims(spark, sf, *columns)
+    left, right = (claims.select(*[F.col(c).alias(f"{s}_{c}") for c in ("claim_id", *columns)]) for s in "ab")
+    return _ends(spark, sf).join(left, F.col("a_id") == F.col("a_claim_id")).join(right, F.col("b_id") == F.col("b_claim_id"))
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored relations with the compared columns of both claims."""
-    rels = _relations(spark, sf).select("relation_id", F.col("claim_a_id").alias("a_id"), F.col("claim_b_id").alias("b_id"))
-    return cascade.sides(rels, _claims(spark, sf))
+    """Stored relations with the compared columns of both claims, prepared."""
+    return cascade.sides(_ends(spark, sf), _claims(spark, sf, *cascade.COMPARED))
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,87 +91,87 @@ def _passages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def claims_latest(spark, sf):
-    return _claims(spark, sf).select("claim_id", "doc_id", "value", "created_at")
+    return _claims(spark, sf, "doc_id", "value", "created_at").select("claim_id", "doc_id", "value", "created_at")
 
 
 def documents_latest(spark, sf):
-    return store.latest(table(spark, sf, "document_store"), "doc_id", "ingested_at").select("doc_id", "filename", "status", "ingested_at")
+    return engine(spark, sf).document_rows("filename", "status", "ingested_at").select("doc_id", "filename", "status", "ingested_at")
 
 
 def relations_latest(spark, sf):
-    return _relations(spark, sf).select("relation_id", "kind", "created_at")
+    return _relations(spark, sf, "kind", "created_at").select("relation_id", "kind", "created_at")
 
 
 def documents_completed(spark, sf):
-    return store.completed(table(spark, sf, "document_store")).select("doc_id", "pages_read")
+    return store.completed(table(spark, sf, "document_store"), ["pages_read"]).select("doc_id", "pages_read")
 
 
 def delete_document_cascade(spark, sf):
     """What stays when the documents of the deletion log go, with their claims and relations."""
     log = table(spark, sf, "deletion_log").filter(clean_key("target_table") == "document_store").select(F.col("target_key").alias("doc_id"))
-    kept, left = store.without_documents(_claims(spark, sf), _relations(spark, sf), log)
+    kept, left = store.without_documents(_claims(spark, sf, "doc_id"), _relations(spark, sf, "claim_a_id", "claim_b_id"), log)
     return kept.agg(F.count("*").alias("claims_left")).join(F.broadcast(left.agg(F.count("*").alias("relations_left"))))
 
 
 def claims_by_ids(spark, sf):
     ids = table(spark, sf, "deletion_log").filter(clean_key("target_table") == "claims").select(clean_key("target_key").alias("claim_id")).distinct()
-    return _claims(spark, sf).join(ids, "claim_id", "left_semi").select("claim_id", "subject")
+    return _claims(spark, sf, "subject").join(ids, "claim_id", "left_semi").select("claim_id", "subject")
 
 
 def claims_filtered(spark, sf):
-    return engine(spark, sf).claims(needs_review=True, quarantined=False, origin="table", limit=None).select("claim_id", "final_confidence")
+    return engine(spark, sf).claims(needs_review=True, quarantined=False, origin="table", limit=None, columns=("final_confidence",)).select("claim_id", "final_confidence")
 
 
 def claims_search(spark, sf):
-    return engine(spark, sf).claims(search="INFLATION", limit=None).select("claim_id", "predicate")
+    return engine(spark, sf).claims(search="INFLATION", limit=None, columns=("predicate",)).select("claim_id", "predicate")
 
 
 def claims_top_confidence(spark, sf):
-    return engine(spark, sf).claims(limit=200, offset=50).select("claim_id", "final_confidence")
+    return engine(spark, sf).claims(limit=200, offset=50, columns=("final_confidence",)).select("claim_id", "final_confidence")
 
 
 def claims_comparable(spark, sf):
-    return _claims(spark, sf).filter(~F.coalesce("quarantined", F.lit(False))).groupBy("origin").agg(F.count("*").alias("claims"))
+    return _claims(spark, sf, "quarantined", "origin").filter(~F.coalesce("quarantined", F.lit(False))).groupBy("origin").agg(F.count("*").alias("claims"))
 
 
 def quarantine_split(spark, sf):
-    return _claims(spark, sf).groupBy("quarantined", "needs_review").agg(F.count("*").alias("claims"))
+    return _claims(spark, sf, "quarantined", "needs_review").groupBy("quarantined", "needs_review").agg(F.count("*").alias("claims"))
 
 
 def claim_counts(spark, sf):
-    return _claims(spark, sf).agg(F.count("*").alias("claims"), F.count_if("needs_review").alias("review"), F.count_if("quarantined").alias("quarantined"), F.count_if(F.col("origin") == "table").alias("from_tables"))
+    return _claims(spark, sf, "needs_review", "quarantined", "origin").agg(F.count("*").alias("claims"), F.count_if("needs_review").alias("review"), F.count_if("quarantined").alias("quarantined"), F.count_if(F.col("origin") == "table").alias("from_tables"))
 
 
 def claims_by_origin(spark, sf):
-    return _claims(spark, sf).groupBy("origin", "modality").agg(F.count("*").alias("claims"))
+    return _claims(spark, sf, "origin", "modality").groupBy("origin", "modality").agg(F.count("*").alias("claims"))
 
 
 def document_claim_counts(spark, sf):
-    return engine(spark, sf).documents().select("doc_id", "claim_count", "ingested_at")
+    return engine(spark, sf).documents("ingested_at").select("doc_id", "claim_count", "ingested_at")
 
 
 def relations_cross_document(spark, sf):
-    return engine(spark, sf).relations(limit=None).select("relation_id", "kind", "a_doc_id", "b_doc_id")
+    return engine(spark, sf).relations(limit=None, columns=("kind",)).select("relation_id", "kind", "a_doc_id", "b_doc_id")
 
 
 def relations_top(spark, sf):
-    return engine(spark, sf).relations(kind="contradiction", limit=100).select("relation_id", "confidence")
+    return engine(spark, sf).relations(kind="contradiction", limit=100, columns=("kind",)).select("relation_id", "confidence")
 
 
 def relations_of_document(spark, sf):
-    return engine(spark, sf).relations(doc_id="3be47e1b80e60f65", cross_document=False, limit=None).select("relation_id", "kind")
+    return engine(spark, sf).relations(doc_id="3be47e1b80e60f65", cross_document=False, limit=None, columns=("kind",)).select("relation_id", "kind")
 
 
 def relations_enriched(spark, sf):
-    return engine(spark, sf).enriched().select("relation_id", F.col("claim_a.subject").alias("a_subject"), F.col("claim_b.value").alias("b_value"))
+    return engine(spark, sf).enriched(("subject", "value")).select("relation_id", F.col("claim_a.subject").alias("a_subject"), F.col("claim_b.value").alias("b_value"))
 
 
 def relations_by_kind(spark, sf):
-    return engine(spark, sf).relations(limit=None).groupBy("kind").agg(F.count("*").alias("relations"))
+    return engine(spark, sf).relations(limit=None, columns=("kind",)).groupBy("kind").agg(F.count("*").alias("relations"))
 
 
 def relations_missing_side(spark, sf):
-    rels, claims = _relations(spark, sf), _claims(spark, sf).select("claim_id")
+    rels, claims = _relations(spark, sf, "claim_a_id", "claim_b_id"), _claims(spark, sf, "created_at").select("claim_id")
     a = rels.join(claims, rels["claim_a_id"] == claims["claim_id"], "left_anti").select("relation_id", F.lit("a").alias("side"))
     return a.unionByName(rels.join(claims, rels["claim_b_id"] == claims["claim_id"], "left_anti").select("relation_id", F.lit("b").alias("side")))
 
@@ -171,11 +182,11 @@ def stats_dashboard(spark, sf):
 
 def grounding_profile(spark, sf):
     s = F.col("grounding_score")
-    return _claims(spark, sf).agg(F.count_if(s == 1).alias("exact"), F.count_if((s > 0) & (s < 1)).alias("near"), F.count_if(F.coalesce(s, F.lit(0.0)) == 0).alias("not_located"))
+    return _claims(spark, sf, "grounding_score").agg(F.count_if(s == 1).alias("exact"), F.count_if((s > 0) & (s < 1)).alias("near"), F.count_if(F.coalesce(s, F.lit(0.0)) == 0).alias("not_located"))
 
 
 def decided_by_share(spark, sf):
-    by = _relations(spark, sf).agg(F.count("*").alias("relations"), F.count_if(F.col("decided_by") == "llm").alias("by_model"))
+    by = _relations(spark, sf, "decided_by").agg(F.count("*").alias("relations"), F.count_if(F.col("decided_by") == "llm").alias("by_model"))
     return by.select("relations", "by_model", F.round(F.try_divide(F.col("by_model") * 100.0, "relations"), 4).alias("percent"))
 
 
@@ -183,48 +194,48 @@ def dedupe_best_confidence(spark, sf):
     low = lambda c: F.lower(F.btrim(F.coalesce(c, F.lit(""))))
     key = [low(c) for c in ("doc_id", "subject", "predicate", "value", "ctx_period", "ctx_scope", "unit")]
     best = Window.partitionBy(*key).orderBy(F.desc_nulls_last("final_confidence"), "claim_id")
-    return _claims(spark, sf).withColumn("r", F.row_number().over(best)).filter("r = 1").select("claim_id", "final_confidence")
+    return _claims(spark, sf, "doc_id", "subject", "predicate", "value", "ctx_period", "ctx_scope", "unit", "final_confidence").withColumn("r", F.row_number().over(best)).filter("r = 1").select("claim_id", "final_confidence")
 
 
 def review_buckets(spark, sf):
     reason = F.lower("reason")
     has = lambda *w: F.greatest(*[F.contains(reason, F.lit(x)) for x in (*w, w[0])])
     bucket = F.when(has("evidence", "located", "numbers"), "grounding").when(has("page", "context", "period"), "context").when(has("predicate", "vocab", "unit"), "vocab").otherwise("other")
-    return _claims(spark, sf).select(F.explode("review_reasons").alias("reason")).select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("reasons"))
+    return _claims(spark, sf, "review_reasons").select(F.explode("review_reasons").alias("reason")).select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("reasons"))
 
 
 def evidence_choice(spark, sf):
     shown = F.when((F.length("matched_text") >= 12) | (F.coalesce("span_text", F.lit("")) == ""), F.col("matched_text")).otherwise(F.col("span_text"))
-    return _claims(spark, sf).select("claim_id", shown.alias("evidence"), F.coalesce("grounding_page", "span_page").alias("page"))
+    return _claims(spark, sf, "matched_text", "span_text", "grounding_page", "span_page").select("claim_id", shown.alias("evidence"), F.coalesce("grounding_page", "span_page").alias("page"))
 
 
 def stated_context(spark, sf):
     entries = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"ctx_{c}").alias("stated")) for c in CONTEXT])
-    return _claims(spark, sf).select("claim_id", F.explode(entries).alias("x")).select("claim_id", "x.*").filter("stated <> ''")
+    return _claims(spark, sf, *[f"ctx_{c}" for c in CONTEXT]).select("claim_id", F.explode(entries).alias("x")).select("claim_id", "x.*").filter("stated <> ''")
 
 
 def context_diff_view(spark, sf):
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"a_ctx_{f}").alias("a"), F.col(f"b_ctx_{f}").alias("b")) for f in ("period", "unit", *cascade.FIELDS)])
-    rows = _pairs(spark, sf).select("relation_id", F.explode(fields).alias("x")).select("relation_id", "x.*")
+    rows = _raw_pairs(spark, sf, *[f"ctx_{f}" for f in ("period", "unit", *cascade.FIELDS)]).select("relation_id", F.explode(fields).alias("x")).select("relation_id", "x.*")
     a, b = F.coalesce("a", F.lit("")), F.coalesce("b", F.lit(""))
     return rows.filter((a != "") | (b != "")).select("relation_id", "field", (a != b).alias("differs"))
 
 
 def export_sample_relations(spark, sf):
     """The 40 most confident relations of each kind; a capped sample is what this export is."""
-    return store.export_sample(_relations(spark, sf).filter("kind is not null"), "kind", 40, [F.desc_nulls_last("confidence"), F.col("relation_id")]).select("relation_id", "kind")
+    return store.export_sample(_relations(spark, sf, "kind", "confidence").filter("kind is not null"), "kind", 40, [F.desc_nulls_last("confidence"), F.col("relation_id")]).select("relation_id", "kind")
 
 
 def best_two_per_kind(spark, sf):
-    return store.export_sample(_relations(spark, sf).filter("kind is not null"), "kind", 2, [F.desc_nulls_last("confidence"), F.col("relation_id")]).select("kind", "relation_id", "confidence")
+    return store.export_sample(_relations(spark, sf, "kind", "confidence").filter("kind is not null"), "kind", 2, [F.desc_nulls_last("confidence"), F.col("relation_id")]).select("kind", "relation_id", "confidence")
 
 
 def worst_flagged(spark, sf):
-    return _claims(spark, sf).filter("needs_review").orderBy(F.asc_nulls_last("final_confidence"), "claim_id").limit(20).select("claim_id", "final_confidence")
+    return _claims(spark, sf, "needs_review", "final_confidence").filter("needs_review").orderBy(F.asc_nulls_last("final_confidence"), "claim_id").limit(20).select("claim_id", "final_confidence")
 
 
 def nested_as_json(spark, sf):
-    rows = store.as_json(_claims(spark, sf).select("claim_id", "review_reasons"), ["review_reasons"])
+    rows = store.as_json(_claims(spark, sf, "review_reasons").select("claim_id", "review_reasons"), ["review_reasons"])
     back = store.from_json(rows, {"review_reasons": "array<string>"})
     return back.select("claim_id", F.size("review_reasons").alias("reasons"))
 
@@ -233,7 +244,7 @@ def nested_as_json(spark, sf):
 
 
 def _parsed(spark, sf):
-    return values.with_unit(values.with_value(_claims(spark, sf), "value"), F.coalesce("unit", "ctx_unit"))
+    return values.with_unit(values.with_value(_claims(spark, sf, "value", "unit", "ctx_unit", "value_num"), "value"), F.coalesce("unit", "ctx_unit"))
 
 
 def parse_value_number(spark, sf):
@@ -261,34 +272,34 @@ def measure_kinds(spark, sf):
 
 
 def numbers_in_text(spark, sf):
-    return _claims(spark, sf).select("claim_id", F.array_join(values.numbers_in(F.col("value")), ";").alias("numbers"))
+    return _claims(spark, sf, "value").select("claim_id", F.array_join(values.numbers_in(F.col("value")), ";").alias("numbers"))
 
 
 def period_signature(spark, sf):
-    p = periods.with_period(_claims(spark, sf), "ctx_period")
+    p = periods.with_period(_claims(spark, sf, "ctx_period"), "ctx_period")
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ";")
     return p.select("claim_id", join("p_years").alias("years"), join("p_quarters").alias("quarters"), join("p_halves").alias("halves"), join("p_months").alias("months"), F.col("p_fiscal").alias("fiscal"))
 
 
 def _period_pairs(spark, sf):
-    return periods.with_period(periods.with_period(_pairs(spark, sf), "a_ctx_period", "ap_"), "b_ctx_period", "bp_")
+    return cascade.sides(_ends(spark, sf), _claims(spark, sf, *cascade.COMPARED))
 
 
 def period_compare_pairs(spark, sf):
-    return _period_pairs(spark, sf).select("relation_id", periods.compare("ap_", "bp_").alias("verdict"))
+    return _period_pairs(spark, sf).select("relation_id", periods.compare("a_p_", "b_p_").alias("verdict"))
 
 
 def period_precedes(spark, sf):
-    return _period_pairs(spark, sf).groupBy(periods.precedes("ap_", "bp_").alias("ordering")).agg(F.count("*").alias("pairs"))
+    return _period_pairs(spark, sf).groupBy(periods.precedes("a_p_", "b_p_").alias("ordering")).agg(F.count("*").alias("pairs"))
 
 
 def entity_normalize(spark, sf):
-    return _claims(spark, sf).groupBy(text.entity_key(F.col("subject")).alias("entity")).agg(F.count("*").alias("claims"))
+    return _claims(spark, sf, "subject").groupBy(text.entity_key(F.col("subject")).alias("entity")).agg(F.count("*").alias("claims"))
 
 
 def entity_containment(spark, sf):
     w = lambda c: F.array_distinct(F.split(text.entity_key(F.col(c)), " "))
-    x = _pairs(spark, sf).select("relation_id", w("a_subject").alias("a"), w("b_subject").alias("b"))
+    x = _raw_pairs(spark, sf, "subject").select("relation_id", w("a_subject").alias("a"), w("b_subject").alias("b"))
     inside = (F.size(F.array_except("a", "b")) == 0) | (F.size(F.array_except("b", "a")) == 0)
     return x.select("relation_id", inside.alias("contained"))
 
@@ -298,64 +309,66 @@ def acronym_of(spark, sf):
 
 
 def predicate_tokens(spark, sf):
-    return _claims(spark, sf).groupBy(F.array_join(text.content_words(F.col("predicate")), " ").alias("words")).agg(F.count("*").alias("claims"))
+    return _claims(spark, sf, "predicate").groupBy(F.array_join(text.content_words(F.col("predicate")), " ").alias("words")).agg(F.count("*").alias("claims"))
 
 
 def predicate_jaccard(spark, sf):
     w = lambda c: F.array_distinct(text.content_words(F.col(c)))
-    return _pairs(spark, sf).select("relation_id", F.round(text.jaccard(w("a_predicate"), w("b_predicate")), 4).alias("jaccard"))
+    return _raw_pairs(spark, sf, "predicate").select("relation_id", F.round(text.jaccard(w("a_predicate"), w("b_predicate")), 4).alias("jaccard"))
 
 
 def antonym_conflict(spark, sf):
     w = lambda c: text.content_words(F.col(c))
-    return _pairs(spark, sf).select("relation_id", text.opposed_words(w("a_predicate"), w("b_predicate")).alias("opposed"))
+    return _raw_pairs(spark, sf, "predicate").select("relation_id", text.opposed_words(w("a_predicate"), w("b_predicate")).alias("opposed"))
 
 
 def more_specific(spark, sf):
     w = lambda c: text.content_words(F.col(c))
-    return _pairs(spark, sf).groupBy(text.refines(w("a_predicate"), w("b_predicate")).alias("direction")).agg(F.count("*").alias("pairs"))
+    return _raw_pairs(spark, sf, "predicate").groupBy(text.refines(w("a_predicate"), w("b_predicate")).alias("direction")).agg(F.count("*").alias("pairs"))
 
 
 # Matching, verdicts.
 
+BLOCKED = ("doc_id", "subject", "predicate", "value", "value_num", "unit", "ctx_unit", "quarantined", "created_at")
+
 
 def same_entity_fuzzy(spark, sf):
-    return matching.with_entity_gate(_pairs(spark, sf), "a_subject", "b_subject").select("relation_id", "ent_ok", "ent_score")
+    return matching.with_entity_gate(_pairs(spark, sf)).select("relation_id", "ent_ok", "ent_score")
 
 
 def same_predicate_fuzzy(spark, sf):
-    return matching.with_predicate_gate(_pairs(spark, sf), "a_predicate", "b_predicate").select("relation_id", "pred_verdict", "pred_score")
+    return matching.with_predicate_gate(_pairs(spark, sf)).select("relation_id", "pred_verdict", "pred_score")
 
 
 def entity_clusters(spark, sf):
-    return matching.cluster_entities(_claims(spark, sf).select("subject"))
+    return matching.cluster_entities(_claims(spark, sf, "subject").select("subject"))
 
 
 def candidate_pairs_topk(spark, sf):
-    return matching.candidate_pairs(matching.blocked_claims(_claims(spark, sf)))
+    return matching.candidate_pairs(matching.blocked_claims(_claims(spark, sf, *BLOCKED)))
 
 
 def candidate_pairs_incremental(spark, sf):
-    claims = _claims(spark, sf)
+    claims = _claims(spark, sf, *BLOCKED)
     new = claims.filter("created_at >= 1748736000").select(F.col("claim_id").alias("id"))
     return matching.candidate_pairs(matching.blocked_claims(claims), new=new)
 
 
 def candidate_pairs_clustered(spark, sf):
-    claims = _claims(spark, sf)
+    claims = _claims(spark, sf, *BLOCKED)
     return matching.candidate_pairs(matching.blocked_claims(claims, matching.cluster_entities(claims.select("subject"))))
 
 
 def pair_ids_sha(spark, sf):
-    return _relations(spark, sf).filter("claim_a_id is not null and claim_b_id is not null").select("relation_id", matching.pair_id("claim_a_id", "claim_b_id").alias("pair_id"))
+    return _relations(spark, sf, "claim_a_id", "claim_b_id").filter("claim_a_id is not null and claim_b_id is not null").select("relation_id", matching.pair_id("claim_a_id", "claim_b_id").alias("pair_id"))
 
 
 def unit_check(spark, sf):
-    return cascade.with_numbers(_pairs(spark, sf)).select("relation_id", cascade.unit_verdict().alias("verdict"))
+    return cascade.both_sides(_pairs(spark, sf)).select("relation_id", cascade.unit_verdict().alias("verdict"))
 
 
 def value_check(spark, sf):
-    x = cascade.with_numbers(_pairs(spark, sf)).filter("a_x is not null or b_x is not null")
+    x = cascade.both_sides(_pairs(spark, sf)).filter("a_x is not null or b_x is not null")
     return x.select("relation_id", cascade.value_verdict(F.lit(0.0), cascade.Tolerance()).alias("verdict"))
 
 
@@ -363,7 +376,7 @@ def text_field_check_exact(spark, sf):
     """Fields that are decided without similarity: not stated, stated once, or written alike."""
     same = F.lower(F.btrim("a_ctx_scope")) == F.lower(F.btrim("b_ctx_scope"))
     verdict = cascade.field_verdict(F.col("a_ctx_scope"), F.col("b_ctx_scope"), F.when(same, 1.0), True, cascade.Tolerance())
-    return _pairs(spark, sf).groupBy(verdict.alias("verdict")).agg(F.count("*").alias("pairs"))
+    return _raw_pairs(spark, sf, "ctx_scope").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("pairs"))
 
 
 def cascade_verdicts(spark, sf):
@@ -389,11 +402,11 @@ def counterfactual_changes(spark, sf):
 
 
 def replay_drift(spark, sf):
-    return cascade.replay(_relations(spark, sf), _claims(spark, sf)).groupBy("old_kind", "kind").agg(F.count("*").alias("pairs"))
+    return cascade.replay(_relations(spark, sf, "claim_a_id", "claim_b_id", "kind", "rule_id"), _claims(spark, sf, *cascade.COMPARED)).groupBy("old_kind", "kind").agg(F.count("*").alias("pairs"))
 
 
 def component_sibling_sums(spark, sf):
-    return cascade.confirm_components(_relations(spark, sf), _claims(spark, sf)).select("relation_id", "parts", "confirmed")
+    return cascade.confirm_components(_relations(spark, sf, "claim_a_id", "claim_b_id", "rule_id"), _claims(spark, sf, *cascade.COMPARED)).select("relation_id", "parts", "confirmed")
 
 
 def relate_all(spark, sf):
@@ -401,7 +414,7 @@ def relate_all(spark, sf):
 
 
 def score_claims(spark, sf):
-    return grounding.score(_claims(spark, sf)).select("claim_id", "grounding_conf", "combined", "is_quarantined", "is_review")
+    return grounding.score(_claims(spark, sf, "extraction_confidence", "grounding_score", "grounded", "value_in_span", "page_shift")).select("claim_id", "grounding_conf", "combined", "is_quarantined", "is_review")
 
 
 # Text of pages.

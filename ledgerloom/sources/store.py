@@ -6,6 +6,8 @@ aggregate with map-side combine, not a window, so a key delivered many times sta
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +18,20 @@ KEYS = {"documents": "doc_id", "claims": "claim_id", "relations": "relation_id"}
 STAMPS = {"documents": "ingested_at", "claims": "created_at", "relations": "created_at"}
 
 
-def latest(df: DataFrame, key: str, at: str) -> DataFrame:
-    """The last delivered row of every key, keys cleaned; rows without a key are left out. Ties: any one of equal rows."""
-    cols = [c for c in df.columns if c != key]
-    keyed = df.withColumn(key, clean_key(key)).filter(F.col(key).isNotNull())
-    plain = [c for c in cols if not dict(df.dtypes)[c].startswith("map")]
-    order = F.struct(F.col(at).isNotNull(), at, F.xxhash64(*[F.to_json(F.struct(*plain))])) if plain else F.col(at)
-    return keyed.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("_x")).select(key, "_x.*").select(*df.columns)
+def latest(df: DataFrame, key: str, at: str, columns: list[str] | None = None) -> DataFrame:
+    """The last delivered row of every key, keys cleaned; rows without a key are left out. Ties: any one of equal rows.
+
+    ``columns`` are those wanted besides the key: only these and ``at`` are read, shuffled and sorted.
+    """
+    wanted = [c for c in df.columns if c != key and (columns is None or c in columns)]
+    kinds = dict(df.dtypes)
+    keyed = df.select(clean_key(key).alias(key), F.col(at).alias("_at"), *wanted).filter(F.col(key).isNotNull())
+    plain = [c for c in wanted if "map<" not in kinds[c]]
+    order = F.struct(F.col("_at").isNotNull(), "_at", *([F.xxhash64(*plain)] if plain else []))
+    if not wanted:
+        return keyed.select(key).distinct()
+    rows = keyed.groupBy(key).agg(F.max_by(F.struct(*wanted), order).alias("_x")).select(key, "_x.*")
+    return rows.select(*[c for c in df.columns if c == key or c in wanted])
 
 
 def content_id(content: Column) -> Column:
@@ -31,9 +40,9 @@ def content_id(content: Column) -> Column:
 
 
 
-def completed(documents: DataFrame) -> DataFrame:
+def completed(documents: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Documents whose latest row says they are extracted."""
-    return latest(documents, "doc_id", "ingested_at").filter(F.lower(F.btrim("status")) == "extracted")
+    return latest(documents, "doc_id", "ingested_at", None if columns is None else [*columns, "status"]).filter(F.lower(F.btrim("status")) == "extracted")
 
 
 def without_documents(claims: DataFrame, relations: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -60,22 +69,44 @@ def loose_json(text: Column, schema: str) -> Column:
 
 
 class Store:
-    """Three parquet tables under one folder; every write replaces a table as a whole and is atomic by renaming."""
+    """Parquet tables under one folder. A table is a series of version folders and a pointer file that names the current
+    one; a write makes a new version and then switches the pointer by a rename that replaces it, so a reader or a crash at
+    any moment finds a whole table, the old one or the new one. The version before the current one is kept."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _version(self, name: str) -> str | None:
+        path, fs = _filesystem(self.spark, f"{self.root}/{name}/CURRENT")
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+        finally:
+            stream.close()
+
     def table(self, name: str) -> DataFrame | None:
-        path, fs = _filesystem(self.spark, f"{self.root}/{name}")
-        return self.spark.read.parquet(f"{self.root}/{name}") if fs.exists(path) else None
+        version = self._version(name)
+        return None if version is None else self.spark.read.parquet(f"{self.root}/{name}/{version}")
 
     def _replace(self, name: str, df: DataFrame) -> None:
-        new, fs = _filesystem(self.spark, f"{self.root}/{name}.new")
-        fs.delete(new, True)
-        df.write.parquet(f"{self.root}/{name}.new")
-        old, _ = _filesystem(self.spark, f"{self.root}/{name}")
-        fs.delete(old, True)
-        fs.rename(new, old)
+        before, now = self._version(name), f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{name}/{now}")
+        jvm = self.spark.sparkContext._jvm
+        made, fs = _filesystem(self.spark, f"{self.root}/{name}/.CURRENT-{now}")
+        out = fs.create(made, True)
+        out.write(now.encode())
+        out.close()
+        current, _ = _filesystem(self.spark, f"{self.root}/{name}/CURRENT")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(made, current, overwrite)
+        for old in fs.listStatus(current.getParent()):
+            leaf = old.getPath().getName()
+            if leaf.startswith("v-") and leaf not in (now, before):
+                fs.delete(old.getPath(), True)
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         """Adds rows; of a key already there the later row stays. New columns are added, missing ones are null."""
@@ -83,6 +114,12 @@ class Store:
         every = rows if have is None else have.unionByName(rows, allowMissingColumns=True)
         self._replace(name, latest(every, KEYS[name], STAMPS[name]))
 
+    def remove(self, name: str, keys: DataFrame) -> None:
+        """Deletes the rows with one of ``keys`` (one column, the table's key)."""
+        have = self.table(name)
+        if have is not None:
+            self._replace(name, have.join(keys, KEYS[name], "left_anti"))
+
     def delete_document(self, doc_id: str) -> bool:
         """Deletes a document with its claims and their relations; False if it isn't there."""
         docs = self.table("documents")
@@ -103,3 +140,15 @@ class Store:
 def export_sample(rows: DataFrame, kind: str, quota: int, order: list[Column]) -> DataFrame:
     """At most ``quota`` rows of each kind in the given order; a sample is what this is for."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(kind).orderBy(*order))).filter(F.col("_r") <= quota).drop("_r")
+
+
+def export_claims(claims: DataFrame, quota: int) -> DataFrame:
+    """A readable sample of claims: a quarter grounded prose, half table cells, the rest of the quota whatever is flagged,
+    each the most telling first; a sample is what this is for."""
+    flagged = F.coalesce("needs_review", F.lit(False)) | F.coalesce("quarantined", F.lit(False))
+    group = F.when(flagged, "flagged").when(F.col("origin") == "table", "table").otherwise("prose")
+    share = {"prose": quota // 4, "table": quota // 2, "flagged": quota - quota // 4 - quota // 2}
+    most = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
+    order = [F.when(flagged, F.col("final_confidence")).asc_nulls_last(), F.desc_nulls_last("final_confidence"), F.col("claim_id")]
+    ranked = claims.withColumn("_g", group).withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy(*order)))
+    return ranked.filter(F.col("_r") <= F.element_at(most, F.col("_g"))).drop("_g", "_r")
