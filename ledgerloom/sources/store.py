@@ -68,35 +68,45 @@ def loose_json(text: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), schema)
 
 
+MOST_DELTAS = 16
+
+
 class Store:
-    """Parquet tables under one folder. A table is a series of version folders and a pointer file that names the current
-    one; a write makes a new version and then switches the pointer by a rename that replaces it, so a reader or a crash at
-    any moment finds a whole table, the old one or the new one. The version before the current one is kept."""
+    """Parquet tables under one folder. A table is a series of folders, a base and what was added since, and a pointer file
+    that names the current ones. A write makes a folder and then switches the pointer by a rename that replaces it, so a
+    reader or a crash at any moment finds a whole table, the old one or the new one. An upsert writes its own rows only;
+    the latest row of a key is decided on reading, and after ``MOST_DELTAS`` upserts the folders are merged into one."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _version(self, name: str) -> str | None:
+    def _folders(self, name: str) -> list[str]:
         path, fs = _filesystem(self.spark, f"{self.root}/{name}/CURRENT")
         if not fs.exists(path):
-            return None
+            return []
         stream = fs.open(path)
         try:
-            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
         finally:
             stream.close()
 
     def table(self, name: str) -> DataFrame | None:
-        version = self._version(name)
-        return None if version is None else self.spark.read.parquet(f"{self.root}/{name}/{version}")
-
-    def _replace(self, name: str, df: DataFrame) -> None:
-        before, now = self._version(name), f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}/{now}")
+        folders = self._folders(name)
+        parts = [self.spark.read.parquet(f"{self.root}/{name}/{f}") for f in folders]
+        if not parts:
+            return None
+        every = parts[0]
+        for more in parts[1:]:
+            every = every.unionByName(more, allowMissingColumns=True)
+        return latest(every, KEYS[name], STAMPS[name]) if len(parts) > 1 else every
+
+    def _switch(self, name: str, folders: list[str]) -> None:
+        """Points to ``folders`` and deletes those that neither they nor the list before them name."""
+        before = self._folders(name)
         jvm = self.spark.sparkContext._jvm
-        made, fs = _filesystem(self.spark, f"{self.root}/{name}/.CURRENT-{now}")
+        made, fs = _filesystem(self.spark, f"{self.root}/{name}/.CURRENT-{uuid.uuid4().hex}")
         out = fs.create(made, True)
-        out.write(now.encode())
+        out.write(" ".join(folders).encode())
         out.close()
         current, _ = _filesystem(self.spark, f"{self.root}/{name}/CURRENT")
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -105,14 +115,23 @@ class Store:
         context.rename(made, current, overwrite)
         for old in fs.listStatus(current.getParent()):
             leaf = old.getPath().getName()
-            if leaf.startswith("v-") and leaf not in (now, before):
+            if leaf.startswith("v-") and leaf not in folders and leaf not in before:
                 fs.delete(old.getPath(), True)
 
+    def _write(self, name: str, df: DataFrame) -> str:
+        folder = f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{name}/{folder}")
+        return folder
+
+    def _replace(self, name: str, df: DataFrame) -> None:
+        self._switch(name, [self._write(name, df)])
+
     def upsert(self, name: str, rows: DataFrame) -> None:
         """Adds rows; of a key already there the later row stays. New columns are added, missing ones are null."""
-        have = self.table(name)
-        every = rows if have is None else have.unionByName(rows, allowMissingColumns=True)
-        self._replace(name, latest(every, KEYS[name], STAMPS[name]))
+        have = self._folders(name)
+        self._switch(name, [*have, self._write(name, latest(rows, KEYS[name], STAMPS[name]))])
+        if len(have) >= MOST_DELTAS:
+            self._replace(name, self.table(name))
 
     def remove(self, name: str, keys: DataFrame) -> None:
         """Deletes the rows with one of ``keys`` (one column, the table's key)."""
