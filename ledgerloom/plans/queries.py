@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import lexicon, periods, text, values
 from ledgerloom.functions.keys import clean_key
-from ledgerloom.operators import cascade, extraction, grids, grounding, matching, orphans, units
+from ledgerloom.operators import cascade, extraction, grids, grounding, matching, orphans, review, strategies, units
 from ledgerloom.plans.engine import CONTEXT, Engine
-from ledgerloom.sources import store
+from ledgerloom.sources import files, store
+from ledgerloom.sources.scratch import shared_dir
+from ledgerloom.streaming import incremental
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -84,7 +87,7 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def _passages(spark: SparkSession, sf: str) -> DataFrame:
     """A source as one document, every passage a page."""
-    return table(spark, sf, "documents").filter("text is not null").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page_no"), F.col("text").alias("raw"))
+    return table(spark, sf, "documents").filter("text is not null").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), F.col("text").alias("raw"))
 
 
 # Store: upserts, deletes, reads.
@@ -429,8 +432,7 @@ def furniture_lines(spark, sf):
 
 
 def sentence_counts(spark, sf):
-    parts = F.split("raw", extraction.SENTENCE_END)
-    return _passages(spark, sf).select("page_no", F.size(F.filter(parts, lambda s: F.regexp_replace(s, r"\s", "") != "")).alias("sentences"))
+    return extraction.sentences(_passages(spark, sf)).groupBy("page_no").agg(F.count("*").cast("int").alias("sentences"))
 
 
 def value_mentions(spark, sf):
@@ -467,11 +469,16 @@ def ingest_pages(spark, sf):
 
 
 def grounded_spans(spark, sf):
-    """Evidence of the stored claims looked up in the passages of their documents' pages."""
-    docs = table(spark, sf, "documents").filter("text is not null").select(clean_key("source_doc_id").alias("doc_id"), F.coalesce("page_no", F.lit(1)).alias("page_no"), "doc_id", "text").toDF("doc_id", "page_no", "n", "text")
-    pages = docs.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n").alias("raw"))
-    claims = _claims(spark, sf).withColumn("doc_id", clean_key("doc_id"))
-    return grounding.ground(claims, pages).groupBy("located", "note").agg(F.count("*").alias("claims"))
+    """Evidence of the stored claims looked up in the pages of their documents."""
+    claims = _claims(spark, sf, "doc_id", "value", "span_page", "span_text", "origin", "char_start", "char_end").withColumn("doc_id", clean_key("doc_id"))
+    return grounding.ground(claims, _pages(spark, sf)).groupBy("located", "note").agg(F.count("*").alias("claims"))
+
+
+def grounded_exactly(spark, sf):
+    """Evidence that is on its page or close by, word for word."""
+    claims = _claims(spark, sf, "doc_id", "value", "span_page", "span_text", "origin").withColumn("doc_id", clean_key("doc_id"))
+    found = grounding.ground(claims, _pages(spark, sf)).filter("note in ('exact match', 'row label and value on the page', 'value on the page, row label not', 'value not on the page', 'page not found', 'evidence too short')")
+    return found.select("claim_id", "page", "score", "note")
 
 
 # Grids.
@@ -481,9 +488,13 @@ def _grids(spark, sf):
     """Quantities of line items by return flag and year, laid out as tables, one per ship month."""
     items = table(spark, sf, "lineitem").select(F.month("l_shipdate").alias("grid_id"), "l_returnflag", F.year("l_shipdate").alias("y"), F.col("l_quantity").cast("decimal(18,2)").alias("q"))
     sums = items.groupBy("grid_id", "l_returnflag", "y").agg(F.sum("q").alias("q"))
-    by_row = sums.groupBy("grid_id", "l_returnflag").agg(F.array_sort(F.collect_list(F.struct("y", "q"))).alias("c"))
-    rows = by_row.select("grid_id", F.struct("l_returnflag", F.concat(F.array(F.concat(F.lit("quantity returned "), F.col("l_returnflag"))), F.transform("c", lambda x: x["q"].cast("string"))).alias("r")).alias("row"), F.transform("c", lambda x: F.concat(F.lit("FY"), x["y"].cast("string"))).alias("years"))
-    return rows.groupBy("grid_id").agg(F.concat(F.array(F.concat(F.array(F.lit("(million)")), F.max_by("years", F.size("years")))), F.transform(F.array_sort(F.collect_list("row")), lambda x: x["r"])).alias("cells"))
+    years = sums.groupBy("grid_id").agg(F.sort_array(F.collect_set("y")).alias("years"))
+    held = sums.groupBy("grid_id", "l_returnflag").agg(F.map_from_entries(F.collect_list(F.struct("y", F.col("q").cast("string").alias("q")))).alias("of")).join(years, "grid_id")
+    label = F.array(F.concat(F.lit("flag "), "l_returnflag", F.lit(" quantity")))
+    row = F.concat(label, F.transform("years", lambda y: F.coalesce(F.try_element_at("of", y), F.lit(""))))
+    rows = held.groupBy("grid_id", "years").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_returnflag", row.alias("r")))), lambda x: x["r"]).alias("rows"))
+    head = F.concat(F.array(F.lit("(million)")), F.transform("years", lambda y: F.concat(F.lit("FY"), y.cast("string"))))
+    return rows.select("grid_id", F.concat(F.array(head), "rows").alias("cells"))
 
 
 def grid_scores(spark, sf):
@@ -494,15 +505,113 @@ def grid_claims(spark, sf):
     return grids.unpivot_grids(_grids(spark, sf), "grid_id")
 
 
-def word_grids(spark, sf):
-    """The same tables taken apart into positioned words and put together again."""
+def _words(spark, sf):
     cells = _grids(spark, sf).select("grid_id", F.posexplode("cells").alias("r", "row")).select("grid_id", "r", F.posexplode("row").alias("c", "cell"))
     words = cells.select("grid_id", "r", "c", F.posexplode(F.split("cell", " ")).alias("w", "text"))
     x0 = F.col("c") * 200.0 + F.col("w") * 55.0
-    placed = words.select("grid_id", x0.alias("x0"), (F.col("r") * 14.0).alias("y0"), (x0 + 50.0).alias("x1"), (F.col("r") * 14.0 + 10.0).alias("y1"), "text")
-    return grids.reconstruct(placed, ["grid_id"]).select("grid_id", F.size("cells").alias("rows"), F.size(F.get("cells", F.lit(0))).alias("cols"))
+    return words.select("grid_id", x0.alias("x0"), (F.col("r") * 14.0).alias("y0"), (x0 + 50.0).alias("x1"), (F.col("r") * 14.0 + 10.0).alias("y1"), "text")
+
+
+def word_grids(spark, sf):
+    """The same tables taken apart into positioned words and put together again."""
+    return grids.reconstruct(_words(spark, sf), ["grid_id"]).select("grid_id", F.size("cells").alias("rows"), F.size(F.get("cells", F.lit(0))).alias("cols"))
+
+
+# Building blocks.
+
+
+def chunked_pages(spark, sf):
+    parts = strategies.chunks(_pages(spark, sf), 4000)
+    return parts.select("doc_id", "chunk", "first_page", "last_page", F.length("text").alias("chars"))
+
+
+def gap_pages(spark, sf):
+    claims = _claims(spark, sf, "doc_id", "span_page").select(clean_key("doc_id").alias("doc_id"), "span_page")
+    return strategies.gap_pages(_pages(spark, sf), claims).select("doc_id", "page_no")
+
+
+def ingest_report(spark, sf):
+    claims = _claims(spark, sf, "doc_id", "quarantined", "needs_review", "origin").withColumn("doc_id", clean_key("doc_id"))
+    return review.ingest_report(claims, _pages(spark, sf))
+
+
+def relate_report(spark, sf):
+    return review.relate_report(_relations(spark, sf, "kind", "decided_by", "rule_id").filter("kind is not null"))
+
+
+def mode_report(spark, sf):
+    return review.mode_report(_claims(spark, sf, "quarantined", "origin"), _relations(spark, sf, "kind", "decided_by"), "stored")
+
+
+def adjudication_budget(spark, sf):
+    """Which open verdicts a budget of 200 puts to the judge."""
+    open_rules = [r[0] for r in lexicon.RULES if r[3]]
+    rels = _relations(spark, sf, "rule_id", "match_confidence").withColumn("escalate", F.coalesce(F.col("rule_id").isin(open_rules), F.lit(False)))
+    return review.within_budget(rels).select("relation_id", "chosen")
 
 
+def judged_relations(spark, sf):
+    """Open verdicts put to a judge that calls every one of them reconciled."""
+    open_rules = [r[0] for r in lexicon.RULES if r[3]]
+    rels = _relations(spark, sf, "kind", "rule_id", "decided_by", "match_confidence", "relationship_confidence", "confidence", "reasoning_trace")
+    asked = rels.withColumn("escalate", F.coalesce(F.col("rule_id").isin(open_rules), F.lit(False)))
+    return review.adjudicate(asked, lambda row: {"kind": "reconciled", "confidence": 0.75}).select("relation_id", "kind", "decided_by", "relationship_confidence")
+
+
+def claim_detail(spark, sf):
+    """The claim with the smallest id, and how many relations it has."""
+    first = _claims(spark, sf, "subject").agg(F.min("claim_id")).first()[0]
+    return engine(spark, sf).claim(first).select("claim_id", "subject", F.size("relations").alias("relations"))
+
+
+def claims_of_document(spark, sf):
+    first = _claims(spark, sf, "doc_id").agg(F.min(clean_key("doc_id"))).first()[0]
+    return engine(spark, sf).claims(doc_id=first, limit=None, columns=("final_confidence",)).select("claim_id", "final_confidence")
+
+
+def embedding_scan(spark, sf):
+    return files.embeddings(_claims(spark, sf, "embedding"), 64).select("claim_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("total"))
+
+
+def embedded_texts(spark, sf):
+    return _claims(spark, sf, "subject", "predicate").groupBy(files.embedded_text(F.col("subject"), F.col("predicate")).alias("text")).agg(F.count("*").alias("claims"))
+
+
+def evidence_boxes(spark, sf):
+    """The union of the boxes of a document's evidence, page by page."""
+    rows = _claims(spark, sf, "doc_id", "span_page", "bbox").filter("bbox is not null")
+    return rows.groupBy(clean_key("doc_id").alias("doc_id"), "span_page").agg(F.min("bbox.x0").alias("x0"), F.min("bbox.y0").alias("y0"), F.max("bbox.x1").alias("x1"), F.max("bbox.y1").alias("y1"))
+
+
+def export_claims_sample(spark, sf):
+    rows = store.export_claims(_claims(spark, sf, "origin", "needs_review", "quarantined", "final_confidence"), 100)
+    return rows.select("claim_id", "origin", "final_confidence")
+
+
+def arrivals_by_day(spark, sf):
+    days = incremental.arrivals(table(spark, sf, "claims"))
+    return days.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "origin", "claims")
+
+
+def stream_first_deliveries(spark, sf):
+    """Claims read as a stream, those delivered again left out, written by a file sink and read back."""
+    source = spark.readStream.schema(table(spark, sf, "claims").schema).parquet(f"{sf}/claims.parquet*")
+    where = f"{shared_dir(spark)}/ledgerloom/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    first = incremental.first_deliveries(source).select("claim_id", "origin")
+    first.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{where}/out").select("claim_id", "origin")
+
+
+def selected_tables(spark, sf):
+    """Tables put together from words, the best of each page."""
+    found = grids.reconstruct(_words(spark, sf), ["grid_id"]).withColumn("source", F.lit("words"))
+    return grids.select_tables(found, ["grid_id"]).select("grid_id", "header_rows", F.size("header").alias("columns"), F.size("body").alias("rows"))
+
+
+BLOCKS = [
+    chunked_pages, gap_pages, ingest_report, relate_report, mode_report, adjudication_budget, judged_relations, claim_detail, claims_of_document, embedding_scan, embedded_texts, evidence_boxes,
+    export_claims_sample, arrivals_by_day, stream_first_deliveries, selected_tables,
+]
 CORE = [
     claims_latest, documents_latest, relations_latest, documents_completed, delete_document_cascade, claims_by_ids, claims_filtered, claims_search, claims_top_confidence, claims_comparable,
     quarantine_split, claim_counts, claims_by_origin, document_claim_counts, relations_cross_document, relations_top, relations_of_document, relations_enriched, relations_by_kind,
@@ -511,7 +620,7 @@ CORE = [
     numbers_in_text, period_signature, period_compare_pairs, period_precedes, entity_normalize, entity_containment, acronym_of, predicate_tokens, predicate_jaccard, antonym_conflict,
     more_specific, same_entity_fuzzy, same_predicate_fuzzy, entity_clusters, candidate_pairs_topk, candidate_pairs_incremental, candidate_pairs_clustered, pair_ids_sha, unit_check, value_check,
     text_field_check_exact, cascade_verdicts, verdicts_by_rule, status_verdicts, context_differences, counterfactual_changes, replay_drift, component_sibling_sums, relate_all, score_claims,
-    line_offsets, furniture_lines, sentence_counts, value_mentions, headings_before, end_matter_pages, proper_noun_counts, detected_entities, extracted_claims, ingest_pages, grounded_spans,
+    line_offsets, furniture_lines, sentence_counts, value_mentions, headings_before, end_matter_pages, proper_noun_counts, detected_entities, extracted_claims, ingest_pages, grounded_spans, grounded_exactly,
     grid_scores, grid_claims, word_grids,
 ]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*CORE, p4_found, p4_unstated, p4_status, p5_found, p5_report)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*CORE, *BLOCKS, p4_found, p4_unstated, p4_status, p5_found, p5_report)}

@@ -212,10 +212,84 @@ SELECT CAST(CASE WHEN NOT pa_stated OR NOT pb_stated THEN 0 WHEN ya < yb THEN -1
     "text_field_check_exact": f"""{_PAIRS}, z AS (SELECT trim(coalesce(a_ctx_scope, '')) AS a, trim(coalesce(b_ctx_scope, '')) AS b FROM ab)
 SELECT CASE WHEN a = '' AND b = '' THEN 'same' WHEN a = '' OR b = '' THEN CASE WHEN lower(a || b) IN ({", ".join(f"'{w}'" for w in _lex.AGGREGATE_SCOPES)}) THEN 'same' ELSE 'unknown' END WHEN lower(a) = lower(b) THEN 'same' ELSE 'unknown' END AS verdict, count(*) AS pairs FROM z GROUP BY 1""",
     "score_claims": f"{_W}, s AS ({_SCORE}) SELECT claim_id, grounding_conf, CAST(round(CAST(e AS DECIMAL(10,4)) * CAST(grounding_conf AS DECIMAL(10,4)), 4) AS DOUBLE) AS combined, is_quarantined, (is_quarantined OR round(CAST(e AS DECIMAL(10,4)) * CAST(grounding_conf AS DECIMAL(10,4)), 4) < 0.6) AS is_review FROM s",
-    "line_offsets": f"WITH {_LINES} SELECT CAST(page_no AS INT) AS page_no, CAST(line_no AS INT) AS line_no, CAST(coalesce(before, 0) AS BIGINT) AS char_start, CAST(coalesce(before, 0) + length(text) AS BIGINT) AS char_end FROM ln",
+    "line_offsets": f"WITH {_LINES} SELECT CAST(page_no AS BIGINT) AS page_no, CAST(line_no AS INT) AS line_no, CAST(coalesce(before, 0) AS BIGINT) AS char_start, CAST(coalesce(before, 0) + length(text) AS BIGINT) AS char_end FROM ln",
     "furniture_lines": f"""WITH {_LINES}, t AS (SELECT DISTINCT source AS doc_id, page_no, trim(text, {_B}) AS text FROM ln), n AS (SELECT source AS doc_id, count(DISTINCT doc_id) AS pages FROM documents WHERE text IS NOT NULL GROUP BY 1)
 SELECT t.doc_id, text, count(*) AS on_pages FROM t JOIN n USING (doc_id) WHERE length(text) > 3 GROUP BY t.doc_id, text, pages HAVING count(*) >= greatest(3, floor(pages * 0.02))""",
-    "value_mentions": "SELECT CAST(doc_id AS INT) AS page_no, CAST(len(regexp_extract_all(text, '(?i)(?:(?:[₹$€£¥]|\\b(?:Rs\\.?|INR|USD|US\\$|EUR|GBP|JPY)\\b)\\s*)?\\(?-?\\d[\\d,]*(?:\\.\\d+)?\\)?(?:\\s*(?:hundred|thousand|lakhs?|lacs?|million|billion|trillion|crores?|mn|bn|tn|cr|k)\\b)?(?:\\s*(?:%|per\\s?cent(?:age)?|percent))?')) AS INT) AS mentions FROM documents WHERE text IS NOT NULL",
+    "value_mentions": "SELECT CAST(doc_id AS BIGINT) AS page_no, CAST(len(regexp_extract_all(text, '(?i)(?:(?:[₹$€£¥]|\\b(?:Rs\\.?|INR|USD|US\\$|EUR|GBP|JPY)\\b)\\s*)?\\(?-?\\d[\\d,]*(?:\\.\\d+)?\\)?(?:\\s*(?:hundred|thousand|lakhs?|lacs?|million|billion|trillion|crores?|mn|bn|tn|cr|k)\\b)?(?:\\s*(?:%|per\\s?cent(?:age)?|percent))?')) AS INT) AS mentions FROM documents WHERE text IS NOT NULL",
     "headings_before": f"""WITH {_LINES}, h AS (SELECT page_no, last_value(CASE WHEN upper(text) = text AND regexp_matches(text, '[A-Z]{{4}}') THEN text END IGNORE NULLS) OVER (PARTITION BY page_no ORDER BY line_no) AS heading FROM ln)
-SELECT CAST(page_no AS INT) AS page_no, count(*) AS lines, count(DISTINCT heading) AS headings FROM h WHERE heading IS NOT NULL GROUP BY 1""",
+SELECT CAST(page_no AS BIGINT) AS page_no, count(*) AS lines, count(DISTINCT heading) AS headings FROM h WHERE heading IS NOT NULL GROUP BY 1""",
+}
+
+# The corpus as files and pages, and reports over it.
+_P = f"""pg AS (SELECT coalesce({_key('source_doc_id')}, '#' || CAST(doc_id AS VARCHAR)) AS doc_id, coalesce(page_no, 1) AS page_no, string_agg(text, chr(10) ORDER BY documents.doc_id) AS raw
+ FROM documents WHERE text IS NOT NULL GROUP BY 1, 2)"""
+_OPEN = ", ".join(f"'{r[0]}'" for r in _lex.RULES if r[3])
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+_KINDS = ("corroboration", "contradiction", "reconciled", "partial_cover", "component_of_total", "supersedes", "underspecified")
+_FLAGGED = "(coalesce(needs_review, false) OR coalesce(quarantined, false))"
+
+
+def _norm(c: str) -> str:
+    """Text as evidence is compared."""
+    plain = f"replace(translate({_fold(c)}, '‘’‚“”„', '\"\"\"'), chr(173), '')"
+    return f"lower(trim(regexp_replace(regexp_replace({plain}, '-\\s*\\n\\s*(\\p{{L}})', '\\1', 'g'), '\\s+', ' ', 'g')))"
+
+
+ORACLE |= {
+    "sentence_counts": f"""SELECT * FROM (SELECT CAST(doc_id AS BIGINT) AS page_no, CAST(len(list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?;])[\\s\\p{{Zs}}]+([A-Z("''‘“₹$€£])', '\\1' || chr(1) || '\\2', 'g'), '\\n{{2,}}', chr(1), 'g'), chr(1)), lambda z: regexp_replace(z, '[\\s\\p{{Zs}}]', '', 'g') <> '')) AS INT) AS sentences FROM documents WHERE text IS NOT NULL) WHERE sentences > 0""",
+    "chunked_pages": f"""WITH RECURSIVE {_P}, b AS (SELECT doc_id, page_no, length(trim(raw, {_BLANKS})) + length(CAST(page_no AS VARCHAR)) + 14 AS n, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS i FROM pg WHERE trim(raw, {_BLANKS}) <> ''),
+ w(doc_id, page_no, n, i, size, chunk) AS (SELECT doc_id, page_no, n, i, n, 0 FROM b WHERE i = 1
+  UNION ALL SELECT b.doc_id, b.page_no, b.n, b.i, CASE WHEN w.size + b.n <= 4000 THEN w.size + b.n ELSE b.n END, CASE WHEN w.size + b.n <= 4000 THEN w.chunk ELSE w.chunk + 1 END FROM w JOIN b ON b.doc_id = w.doc_id AND b.i = w.i + 1)
+ SELECT doc_id, CAST(chunk AS INT) AS chunk, min(page_no) AS first_page, max(page_no) AS last_page, CAST(sum(n) AS INT) AS chars FROM w GROUP BY 1, 2""",
+    "gap_pages": f"""{_W}, {_P}, o AS (SELECT doc_id, page_no FROM pg WHERE length(raw) - length(regexp_replace(raw, '\\d', '', 'g')) > 40 AND NOT EXISTS (SELECT 1 FROM c WHERE {_key('c.doc_id')} = pg.doc_id AND c.span_page = pg.page_no))
+ SELECT doc_id, page_no FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_no) <= 15""",
+    "ingest_report": f"""{_W}, {_P}, s AS (SELECT {_key('doc_id')} AS doc_id, count(*) AS stored, count(*) FILTER (NOT coalesce(quarantined, false)) AS grounded, count(*) FILTER (quarantined) AS quarantined, count(*) FILTER (needs_review) AS needs_review,
+ count(*) FILTER (origin = 'table') AS from_tables, count(*) FILTER (origin = 'llm') AS by_model FROM c GROUP BY 1)
+ SELECT p.doc_id, pages_read, coalesce(stored, 0) AS stored, coalesce(grounded, 0) AS grounded, coalesce(quarantined, 0) AS quarantined, coalesce(needs_review, 0) AS needs_review, coalesce(from_tables, 0) AS from_tables, coalesce(by_model, 0) AS by_model
+ FROM (SELECT doc_id, count(*) AS pages_read FROM pg GROUP BY 1) p LEFT JOIN s USING (doc_id)""",
+    "relate_report": f"{_W} SELECT kind, count(*) AS relations, count(*) FILTER (decided_by = 'llm') AS by_model, count(*) FILTER (rule_id IN ({_OPEN})) AS open, round(count(*) FILTER (decided_by = 'llm') * 100.0 / (SELECT count(*) FROM r WHERE kind IS NOT NULL), 2) AS percent_by_model FROM r WHERE kind IS NOT NULL GROUP BY 1",
+    "mode_report": f"""{_W} SELECT 'stored' AS mode, claims, grounded, quarantined, table_claims, model_claims, {', '.join(_KINDS)}, by_model, round(by_model * 100.0 / greatest(1, claims), 2) AS percent_by_model
+ FROM (SELECT count(*) AS claims, count(*) FILTER (NOT coalesce(quarantined, false)) AS grounded, count(*) FILTER (quarantined) AS quarantined, count(*) FILTER (origin = 'table') AS table_claims, count(*) FILTER (origin = 'llm') AS model_claims FROM c),
+ (SELECT {', '.join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in _KINDS)}, count(*) FILTER (decided_by = 'llm') AS by_model FROM r)""",
+    "adjudication_budget": f"{_W} SELECT relation_id, row_number() OVER (ORDER BY match_confidence DESC NULLS LAST, relation_id) <= 200 AS chosen FROM r WHERE rule_id IN ({_OPEN})",
+    "judged_relations": f"""{_W}, o AS (SELECT relation_id FROM r WHERE rule_id IN ({_OPEN}) ORDER BY match_confidence DESC NULLS LAST, relation_id LIMIT 200)
+ SELECT relation_id, CASE WHEN o.relation_id IS NULL THEN kind ELSE 'reconciled' END AS kind, CASE WHEN o.relation_id IS NULL THEN decided_by ELSE 'llm' END AS decided_by, CASE WHEN o.relation_id IS NULL THEN relationship_confidence ELSE 0.75 END AS relationship_confidence FROM r LEFT JOIN o USING (relation_id)""",
+    "claim_detail": f"{_W}, f AS (SELECT min(claim_id) AS id FROM c) SELECT claim_id, subject, CAST((SELECT count(*) FROM r, f WHERE claim_a_id = id OR claim_b_id = id) AS INT) AS relations FROM c WHERE claim_id = (SELECT id FROM f)",
+    "claims_of_document": f"{_W} SELECT claim_id, final_confidence FROM c WHERE {_key('doc_id')} = (SELECT min({_key('doc_id')}) FROM c)",
+    "embedding_scan": f"{_W} SELECT claim_id, round(list_sum(list_transform(embedding, lambda z: CAST(z AS DOUBLE))), 3) AS total FROM c WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda z: z <> 0)) > 0 AND len(list_filter(embedding, lambda z: z IS NULL OR isnan(z))) = 0",
+    "embedded_texts": f"{_W} SELECT trim(coalesce(subject, '')) || ' | ' || trim(coalesce(predicate, '')) AS text, count(*) AS claims FROM c GROUP BY 1",
+    "evidence_boxes": f"{_W} SELECT {_key('doc_id')} AS doc_id, span_page, min(bbox.x0) AS x0, min(bbox.y0) AS y0, max(bbox.x1) AS x1, max(bbox.y1) AS y1 FROM c WHERE bbox IS NOT NULL GROUP BY 1, 2",
+    "export_claims_sample": f"""{_W}, g AS (SELECT *, CASE WHEN {_FLAGGED} THEN 'flagged' WHEN origin = 'table' THEN 'table' ELSE 'prose' END AS grp FROM c)
+ SELECT claim_id, origin, final_confidence FROM g QUALIFY row_number() OVER (PARTITION BY grp ORDER BY CASE WHEN {_FLAGGED} THEN final_confidence END ASC NULLS LAST, final_confidence DESC NULLS LAST, claim_id) <= CASE grp WHEN 'table' THEN 50 ELSE 25 END""",
+    "arrivals_by_day": "SELECT strftime(make_timestamp(CAST(floor(created_at / 86400) * 86400000000 AS BIGINT)), '%Y-%m-%d') AS day, origin, count(*) AS claims FROM claims WHERE created_at IS NOT NULL GROUP BY 1, 2",
+    "stream_first_deliveries": f"SELECT claim_id, any_value(origin) AS origin FROM (SELECT {_key('claim_id')} AS claim_id, origin FROM claims WHERE created_at IS NOT NULL) WHERE claim_id IS NOT NULL GROUP BY 1",
+    "grounded_exactly": f"""{_W}, {_P}, n AS (SELECT doc_id, page_no, {_norm('raw')} AS norm FROM pg WHERE {_norm('raw')} <> ''),
+ q AS (SELECT claim_id, {_key('doc_id')} AS doc_id, coalesce(span_page, 1) AS p, coalesce(origin, 'sentence') AS origin, {_norm('span_text')} AS q, {_norm('value')} AS v, {_norm("string_split(coalesce(span_text, ''), '|')[1]")} AS label, length(trim(coalesce(span_text, ''))) AS len FROM c),
+ hits AS (SELECT claim_id, page_no, CASE WHEN page_no = p THEN 0 WHEN abs(page_no - p) <= 3 THEN 2 * abs(page_no - p) - CASE WHEN page_no < p THEN 1 ELSE 0 END ELSE 7 + page_no END AS rank FROM q JOIN n USING (doc_id) WHERE origin <> 'table' AND len >= 8 AND q <> '' AND contains(norm, q))
+ SELECT claim_id, page_no AS page, CAST(1.0 AS DOUBLE) AS score, 'exact match' AS note FROM hits QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY rank) = 1
+ UNION ALL SELECT claim_id, NULL, CAST(0.0 AS DOUBLE), 'evidence too short' FROM q WHERE origin <> 'table' AND len < 8
+ UNION ALL SELECT claim_id, page_no, CAST(CASE WHEN v <> '' AND contains(norm, v) THEN CASE WHEN label <> '' AND contains(norm, label) THEN 1.0 ELSE 0.7 END ELSE 0.0 END AS DOUBLE),
+  CASE WHEN norm IS NULL THEN 'page not found' WHEN v <> '' AND contains(norm, v) THEN CASE WHEN label <> '' AND contains(norm, label) THEN 'row label and value on the page' ELSE 'value on the page, row label not' END ELSE 'value not on the page' END
+  FROM q LEFT JOIN n ON n.doc_id = q.doc_id AND n.page_no = q.p WHERE origin = 'table'""",
+}
+
+# Line items as tables, one per ship month, with their score.
+_G = """sums AS (SELECT month(l_shipdate) AS grid_id, l_returnflag AS f, year(l_shipdate) AS y, sum(CAST(l_quantity AS DECIMAL(18,2))) AS q FROM lineitem GROUP BY ALL),
+ys AS (SELECT DISTINCT grid_id, y FROM sums), fs AS (SELECT DISTINCT grid_id, f FROM sums),
+cell AS (SELECT grid_id, f, y, coalesce(CAST(q AS VARCHAR), '') AS v FROM ys JOIN fs USING (grid_id) LEFT JOIN sums USING (grid_id, f, y)),
+rws AS (SELECT grid_id, f, ['flag ' || f || ' quantity'] || list(v ORDER BY y) AS r FROM cell GROUP BY 1, 2),
+hds AS (SELECT grid_id, ['(million)'] || list('FY' || y ORDER BY y) AS h FROM ys GROUP BY 1),
+gs AS (SELECT grid_id, h, list(r ORDER BY f) AS rows FROM rws JOIN hds USING (grid_id) GROUP BY 1, 2),
+fl AS (SELECT grid_id, h, rows, h || flatten(rows) AS flat FROM gs),
+part AS (SELECT grid_id, h, rows, flat, len(list_filter(flat, lambda c: c <> '')) / len(flat) AS filled, len(list_filter(flat, lambda c: regexp_matches(c, '\\d'))) / len(flat) AS numeric,
+  len(list_filter(flat, lambda c: length(c) > 90 OR len(regexp_extract_all(c, '[-+(]?\\d[\\d,]*(?:\\.\\d+)?\\)?')) > 2)) / len(flat) AS crowded, len(list_filter(h, lambda c: c <> '' AND NOT regexp_matches(c, '\\d'))) / len(h) AS head,
+  list_avg(list_transform(list_filter(flat, lambda c: c <> ''), lambda c: length(c))) AS mean FROM fl),
+sc AS (SELECT *, CASE WHEN len(h) < 2 OR numeric < 0.10 OR mean > 45 THEN 0.0 ELSE greatest(0.0, least(1.0, 0.30 * filled + 0.25 * numeric + 0.20 * head + 0.25 * 1.0 - 1.20 * crowded)) END AS score FROM part)"""
+ORACLE |= {
+    "grid_scores": f"WITH {_G} SELECT grid_id, round(CAST(score AS DOUBLE), 6) AS score FROM sc",
+    "grid_claims": f"""WITH {_G}, num AS (SELECT grid_id, f, y, v, row_number() OVER (PARTITION BY grid_id, y ORDER BY f) - 1 AS i, row_number() OVER (PARTITION BY grid_id, f ORDER BY y) AS j FROM cell)
+ SELECT grid_id, lower('flag ' || f || ' quantity') AS predicate, v AS value, CAST(v AS DOUBLE) * 1e6 AS value_num, 'million' AS unit, 'FY' || y AS ctx_period, CAST(NULL AS VARCHAR) AS ctx_scope,
+  round(least(0.95, CAST((0.72 + 0.10 + 0.06) AS DOUBLE) * least(1.0, 0.6 + CAST(score AS DOUBLE))), 3) AS extraction_confidence, CAST(i AS INT) AS row, CAST(j AS INT) AS col FROM num JOIN sc USING (grid_id) WHERE v <> '' AND score >= 0.34""",
+    "word_grids": f"WITH {_G} SELECT grid_id, CAST(len(rows) + 1 AS INT) AS rows, CAST(len(h) AS INT) AS cols FROM sc",
+    "selected_tables": f"WITH {_G} SELECT grid_id, 1 AS header_rows, CAST(len(h) AS INT) AS columns, CAST(len(rows) AS INT) AS rows FROM sc",
 }
