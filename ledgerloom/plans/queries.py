@@ -447,10 +447,18 @@ def headings_before(spark, sf):
 
 
 def end_matter_pages(spark, sf):
-    pages = _passages(spark, sf)
+    """A customer's orders as a document of pages; pages of orders in part delivered have a heading as end matter has."""
+    head = F.when(F.col("o_orderstatus") == "P", "7. References:").otherwise("Body")
+    pages = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.col("o_orderkey").alias("page_no"), F.concat_ws("\n", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), head).alias("raw"))
     return extraction.end_matter(extraction.page_lines(pages), pages)
 
 
+def marked_headings(spark, sf):
+    """Line items as lines of type: quantities are sizes, returned ones are bold."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_no"), F.concat(F.lit("shipped on the "), F.date_format("l_shipdate", "dd"), F.lit(" "), "l_linestatus").alias("text"), F.col("l_quantity").cast("double").alias("size"), (F.col("l_returnflag") == "R").alias("bold"))
+    return extraction.headings(lines).groupBy("doc_id").agg(F.count_if("is_heading").alias("headings"), F.count("*").alias("lines"))
+
+
 def proper_noun_counts(spark, sf):
     found = extraction.proper_nouns(extraction.page_lines(_passages(spark, sf)))
     return found.groupBy("doc_id", "phrase").agg(F.count("*").alias("mentions"), F.countDistinct("page_no").alias("pages"), F.count_if("articled").alias("articled"))
@@ -620,7 +628,7 @@ CORE = [
     numbers_in_text, period_signature, period_compare_pairs, period_precedes, entity_normalize, entity_containment, acronym_of, predicate_tokens, predicate_jaccard, antonym_conflict,
     more_specific, same_entity_fuzzy, same_predicate_fuzzy, entity_clusters, candidate_pairs_topk, candidate_pairs_incremental, candidate_pairs_clustered, pair_ids_sha, unit_check, value_check,
     text_field_check_exact, cascade_verdicts, verdicts_by_rule, status_verdicts, context_differences, counterfactual_changes, replay_drift, component_sibling_sums, relate_all, score_claims,
-    line_offsets, furniture_lines, sentence_counts, value_mentions, headings_before, end_matter_pages, proper_noun_counts, detected_entities, extracted_claims, ingest_pages, grounded_spans, grounded_exactly,
+    line_offsets, furniture_lines, sentence_counts, value_mentions, headings_before, end_matter_pages, marked_headings, proper_noun_counts, detected_entities, extracted_claims, ingest_pages, grounded_spans, grounded_exactly,
     grid_scores, grid_claims, word_grids,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*CORE, *BLOCKS, p4_found, p4_unstated, p4_status, p5_found, p5_report)}

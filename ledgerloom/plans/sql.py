@@ -274,7 +274,7 @@ ORACLE |= {
 }
 
 # Line items as tables, one per ship month, with their score.
-_G = """sums AS (SELECT month(l_shipdate) AS grid_id, l_returnflag AS f, year(l_shipdate) AS y, sum(CAST(l_quantity AS DECIMAL(18,2))) AS q FROM lineitem GROUP BY ALL),
+_G = """sums AS (SELECT CAST(month(l_shipdate) AS INT) AS grid_id, l_returnflag AS f, year(l_shipdate) AS y, sum(CAST(l_quantity AS DECIMAL(18,2))) AS q FROM lineitem GROUP BY ALL),
 ys AS (SELECT DISTINCT grid_id, y FROM sums), fs AS (SELECT DISTINCT grid_id, f FROM sums),
 cell AS (SELECT grid_id, f, y, coalesce(CAST(q AS VARCHAR), '') AS v FROM ys JOIN fs USING (grid_id) LEFT JOIN sums USING (grid_id, f, y)),
 rws AS (SELECT grid_id, f, ['flag ' || f || ' quantity'] || list(v ORDER BY y) AS r FROM cell GROUP BY 1, 2),
@@ -293,3 +293,11 @@ ORACLE |= {
     "word_grids": f"WITH {_G} SELECT grid_id, CAST(len(rows) + 1 AS INT) AS rows, CAST(len(h) AS INT) AS cols FROM sc",
     "selected_tables": f"WITH {_G} SELECT grid_id, 1 AS header_rows, CAST(len(h) AS INT) AS columns, CAST(len(rows) AS INT) AS rows FROM sc",
 }
+ORACLE |= {
+    "end_matter_pages": """WITH n AS (SELECT CAST(o_custkey AS VARCHAR) AS doc_id, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS pages FROM orders),
+ l AS (SELECT * FROM n WHERE o_orderstatus = 'P' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY o_orderkey DESC) = 1)
+ SELECT doc_id, o_orderkey AS end_page, CAST(length('Order ' || o_orderkey) + 1 AS BIGINT) AS end_char FROM l WHERE i >= floor(pages * 0.55)""",
+    "marked_headings": """WITH t AS (SELECT l_orderkey AS doc_id, CAST(l_quantity AS DOUBLE) AS size, l_returnflag = 'R' AS bold, 'shipped on the ' || strftime(l_shipdate, '%d') || ' ' || l_linestatus AS text FROM lineitem),
+ m AS (SELECT doc_id, list_sort(list(size))[CAST(floor(count(*) / 2) AS INT) + 1] AS median FROM t GROUP BY 1)
+ SELECT doc_id, count(*) FILTER (length(text) <= 120 AND length(text) - length(regexp_replace(text, '\\d', '', 'g')) <= 0.4 * length(text) AND (size >= 1.12 * median OR (bold AND size >= median))) AS headings, count(*) AS lines FROM t JOIN m USING (doc_id) GROUP BY 1""",
+}

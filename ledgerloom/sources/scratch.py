@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,8 +36,22 @@ def _filesystem(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Scratch tables made inside go when the block ends, instead of with the session. What is returned from the block must
+    have been written or counted by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        drop(*_scopes.pop())
+
+
 def save(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a scratch table and return the table read back; it goes when the session ends."""
+    """Write ``df`` as a scratch table and return the table read back; it goes when its ``scope`` or the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -43,6 +59,8 @@ def save(df: DataFrame) -> DataFrame:
     fs.deleteOnExit(target)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._scratch_path = path
+    if _scopes:
+        _scopes[-1].append(kept)
     return kept
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerloom.functions import text
 from ledgerloom.functions.keys import clean_key
 from ledgerloom.operators import cascade, matching
-from ledgerloom.sources.scratch import drop, save
+from ledgerloom.sources.scratch import save, scope
 from ledgerloom.sources.store import Store
 
 
@@ -52,16 +52,16 @@ def relate_batches(claims: DataFrame, store: Store, checkpoint: str, then: Calla
     """Upserts every batch and relates its claims with those that are there. A batch that is run again gives the same tables."""
 
     def step(batch: DataFrame, number: int) -> None:
-        store.upsert("claims", batch)
-        found = save(relate_new(store, batch))
-        before = store.table("relations")
-        # An unrelated pair is stored only to replace a verdict that said otherwise.
-        kept = found.filter("kind <> 'unrelated'")
-        if before is not None:
-            kept = kept.unionByName(found.filter("kind = 'unrelated'").join(before.select("relation_id"), "relation_id", "left_semi").select(*kept.columns))
-        store.upsert("relations", kept)
-        if then:
-            then(found, number)
-        drop(found)
+        with scope():
+            store.upsert("claims", batch)
+            found = save(relate_new(store, batch))
+            before = store.table("relations")
+            # An unrelated pair is stored only to replace a verdict that said otherwise.
+            kept = found.filter("kind <> 'unrelated'")
+            if before is not None:
+                kept = kept.unionByName(found.filter("kind = 'unrelated'").join(before.select("relation_id"), "relation_id", "left_semi").select(*kept.columns))
+            store.upsert("relations", kept)
+            if then:
+                then(found, number)
 
     return claims.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
