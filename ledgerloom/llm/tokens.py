@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +56,11 @@ def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
 def word_table(words: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(_word, n, ids): each distinct word of ``occurrences``, how often it occurs, and its ids."""
     path = vocabulary or f"{TOKENIZERS}/{VOCABULARY}"
+    words.sparkSession.sparkContext.addFile(path)  # executors get the file from the driver
+    name = os.path.basename(path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path)
+        tool = encoder(SparkFiles.get(name))
         for batch in batches:
             ids = [e.ids for e in tool.encode_batch_fast(batch.column("_word").to_pylist(), add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column("_word"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], names=["_word", "n", "ids"])
