@@ -43,9 +43,23 @@ WORD = regex.compile(r"[\p{L}\p{M}\p{Nl}­​-‍⁠﻿]+")
 LATIN = regex.compile(r"\p{Script=Latin}")
 PICTURE = regex.compile(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}️]")
 # A cheap test in the JVM for what may be a disguise; what passes goes to Python in Arrow batches. Punctuation is none.
-_ESCAPED = "".join(f"\\x{{{ord(c):x}}}" for c in sorted(LOOKALIKES.keys() | LIGATURES))
-# Blocks of accents are named too: Java may not know their latest members.
-SUSPECT = rf"[\x{{1ab0}}-\x{{1aff}}\x{{1cd0}}-\x{{1cff}}\x{{1dc0}}-\x{{1dff}}\x{{20d0}}-\x{{20ff}}\x{{ff01}}-\x{{ffee}}\p{{Mn}}\p{{Me}}\p{{Cf}}\p{{Zl}}\p{{Zp}}\x{{1d400}}-\x{{1d7ff}}\x{{34f}}\x{{115f}}\x{{1160}}\x{{3164}}\x{{212a}}{_ESCAPED}]|[\p{{Zs}}&&[^ ]]"
+# Blocks instead of characters: a class of a few ranges is fast, one of hundreds of characters is not.
+_BLOCKS = sorted({ord(c) >> 4 for c in LOOKALIKES.keys() | LIGATURES})
+
+
+def _ranges(blocks: list[int]) -> str:
+    out, start = [], None
+    for i, b in enumerate(blocks):
+        start = b if start is None else start
+        if i + 1 == len(blocks) or blocks[i + 1] != b + 1:
+            out.append(f"\\x{{{start << 4:x}}}-\\x{{{(b << 4) + 15:x}}}")
+            start = None
+    return "".join(out)
+
+
+# Accents are named by block too: Java may not know their latest members.
+# ASCII, which is most of a text, is ruled out first; its blank is the only space that is no disguise.
+SUSPECT = rf"[[^\x{{0}}-\x{{7f}}]&&[\x{{1ab0}}-\x{{1aff}}\x{{1cd0}}-\x{{1cff}}\x{{1dc0}}-\x{{1dff}}\x{{20d0}}-\x{{20ff}}\x{{ff01}}-\x{{ffee}}\p{{Mn}}\p{{Me}}\p{{Cf}}\p{{Zl}}\p{{Zp}}\x{{1d400}}-\x{{1d7ff}}\x{{34f}}\x{{115f}}\x{{1160}}\x{{3164}}\p{{Zs}}{_ranges(_BLOCKS)}]]"
 
 
 def beyond_ascii(text: Column) -> Column:
