@@ -37,6 +37,6 @@ def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     The optimizer moves filters below projections by writing the projected expressions out wherever they are referred to,
     which repeats expensive ones many times over; it doesn't move them below an explode, here of one row.
     """
-    kept = [c for c in df.columns if c not in columns]
     made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
-    return df.select(*df.columns, made.alias("_staged")).select(*kept, "_staged.*")
+    gone = ", ".join(f"`{c}`" for c in ("_staged", *(c for c in df.columns if c in columns)))
+    return df.select("*", made.alias("_staged")).selectExpr(f"* except ({gone})", "_staged.*")

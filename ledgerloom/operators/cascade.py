@@ -66,7 +66,8 @@ def prepared_claims(claims: DataFrame) -> DataFrame:
 
 def sides(pairs: DataFrame, claims: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:
     """Pairs with the compared columns of both claims as a_... and b_..., prepared; a pair with a missing claim is left out."""
-    ready = claims if "p_stated" in claims.columns else prepared_claims(claims)
+    # Both sides read it: prepared once, written down.
+    ready = claims if "p_stated" in claims.columns else save(prepared_claims(claims))
     keep = [c for c in ready.columns if c in COMPARED] + _made_by_prepared(ready.columns, "")
     left, right = (ready.select(*[F.col(c).alias(f"{s}_{c}") for c in keep]) for s in "ab")
     return pairs.join(left, pairs[a] == left["a_claim_id"]).join(right, pairs[b] == right["b_claim_id"])
@@ -94,6 +95,11 @@ def _text_scores(df: DataFrame, names: list[tuple[str, str, str]], wanted: Colum
     return df.withColumns({out: F.get("_s", F.lit(i)) for i, (out, _, _) in enumerate(names)}).drop("_s")
 
 
+def with_text_scores(df: DataFrame, wanted: Column) -> DataFrame:
+    """Adds s_value and s_... of every context field."""
+    return _text_scores(df, [("s_value", "a_value", "b_value"), *[(f"s_{f}", f"a_ctx_{f}", f"b_ctx_{f}") for f in FIELDS]], wanted)
+
+
 def field_verdict(a: Column, b: Column, score: Column, scope: bool, t: Tolerance) -> Column:
     """same, different or unknown; two unstated fields are the same, one unstated is unknown."""
     x, y = F.btrim(F.coalesce(a, F.lit(""))), F.btrim(F.coalesce(b, F.lit("")))
@@ -168,7 +174,7 @@ def compare(pairs: DataFrame, t: Tolerance = Tolerance(), unrelated: bool = True
     df = staged(df, {c: F.col(c) for c in ("ent_ok", "ent_score", "pred_verdict", "pred_score")})
     if not unrelated:
         df = df.filter(passed)
-    df = _text_scores(df, [("s_value", "a_value", "b_value"), *[(f"s_{f}", f"a_ctx_{f}", f"b_ctx_{f}") for f in FIELDS]], passed)
+    df = with_text_scores(df, passed)
     df = staged(df, {
         "period_v": periods.compare("a_p_", "b_p_"), "unit_v": unit_verdict(), "order": periods.precedes("a_p_", "b_p_"),
         **{f"{f}_v": field_verdict(F.col(f"a_ctx_{f}"), F.col(f"b_ctx_{f}"), F.col(f"s_{f}"), f == "scope", t) for f in FIELDS},
@@ -226,7 +232,7 @@ def compare(pairs: DataFrame, t: Tolerance = Tolerance(), unrelated: bool = True
     return df.select(
         pair_id("a_claim_id", "b_claim_id").alias("relation_id"), c("a_claim_id").alias("claim_a_id"), c("b_claim_id").alias("claim_b_id"), "kind", F.lit("rules").alias("decided_by"), "rule_id",
         F.round("ent_score", 4).alias("subject_similarity"), F.round("pred_score", 4).alias("predicate_similarity"), "match_confidence", "relationship_confidence",
-        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), weakest * match * c("relationship_confidence"))), 4).alias("confidence"),
+        (F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), weakest * match * c("relationship_confidence"))) * 10000 + 0.5) / 10000).alias("confidence"),
         trace.alias("reasoning_trace"), F.when(compared, differing).alias("context_diff"), F.when(compared, c("value_v")).alias("value_agreement"), F.when(compared, delta).alias("value_delta"), "escalate", F.when(c("rule_id") == "R10", component()).alias("component"), *keep,
     )
 

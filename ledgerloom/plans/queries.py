@@ -64,11 +64,15 @@ def _ends(spark: SparkSession, sf: str) -> DataFrame:
     return rels.select("relation_id", F.col("claim_a_id").alias("a_id"), F.col("claim_b_id").alias("b_id"))
 
 
+def _joined(spark: SparkSession, sf: str, claims: DataFrame) -> DataFrame:
+    """Stored relations with the columns of ``claims`` for both sides, as a_... and b_..."""
+    left, right = (claims.select(*[F.col(c).alias(f"{s}_{c}") for c in claims.columns]) for s in "ab")
+    return _ends(spark, sf).join(left, F.col("a_id") == F.col("a_claim_id")).join(right, F.col("b_id") == F.col("b_claim_id"))
+
+
 def _raw_pairs(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """Stored relations with columns of both claims as they are."""
-    claims = _claims(spark, sf, *columns)
-    left, right = (claims.select(*[F.col(c).alias(f"{s}_{c}") for c in ("claim_id", *columns)]) for s in "ab")
-    return _ends(spark, sf).join(left, F.col("a_id") == F.col("a_claim_id")).join(right, F.col("b_id") == F.col("b_claim_id"))
+    return _joined(spark, sf, _claims(spark, sf, *columns))
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -285,7 +289,7 @@ def period_signature(spark, sf):
 
 
 def _period_pairs(spark, sf):
-    return cascade.sides(_ends(spark, sf), _claims(spark, sf, *cascade.COMPARED))
+    return _joined(spark, sf, periods.with_period(_claims(spark, sf, "ctx_period"), "ctx_period"))
 
 
 def period_compare_pairs(spark, sf):
@@ -375,11 +379,22 @@ def value_check(spark, sf):
     return x.select("relation_id", cascade.value_verdict(F.lit(0.0), cascade.Tolerance()).alias("verdict"))
 
 
-def text_field_check_exact(spark, sf):
-    """Fields that are decided without similarity: not stated, stated once, or written alike."""
-    same = F.lower(F.btrim("a_ctx_scope")) == F.lower(F.btrim("b_ctx_scope"))
-    verdict = cascade.field_verdict(F.col("a_ctx_scope"), F.col("b_ctx_scope"), F.when(same, 1.0), True, cascade.Tolerance())
-    return _raw_pairs(spark, sf, "ctx_scope").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("pairs"))
+def _scored(spark, sf):
+    """Stored relations that pass the gates, with the similarity of their texts."""
+    rows = cascade.gated(_pairs(spark, sf)).filter("ent_ok and pred_verdict <> 'different'")
+    return cascade.with_text_scores(rows, F.lit(True))
+
+
+def text_field_check(spark, sf):
+    """Context fields of pairs that pass the gates, by their similarity."""
+    t = cascade.Tolerance()
+    verdicts = [cascade.field_verdict(F.col(f"a_ctx_{f}"), F.col(f"b_ctx_{f}"), F.col(f"s_{f}"), f == "scope", t).alias(f"{f}_v") for f in cascade.FIELDS]
+    return _scored(spark, sf).select("relation_id", *verdicts)
+
+
+def value_check_all(spark, sf):
+    """Values of pairs that pass the gates, texts by their similarity."""
+    return _scored(spark, sf).select("relation_id", cascade.value_verdict(F.coalesce("s_value", F.lit(1.0)), cascade.Tolerance()).alias("verdict"))
 
 
 def cascade_verdicts(spark, sf):
@@ -390,6 +405,20 @@ def verdicts_by_rule(spark, sf):
     return cascade.compare(_pairs(spark, sf).drop("relation_id", "a_id", "b_id")).groupBy("rule_id", "kind").agg(F.count("*").alias("pairs"))
 
 
+def _judged_candidates(spark, sf):
+    claims = _claims(spark, sf, *{*BLOCKED, *cascade.COMPARED, "quarantined"})
+    return cascade.compare(cascade.sides(matching.candidate_pairs(matching.blocked_claims(claims)), claims).drop("a_id", "b_id"))
+
+
+def candidate_verdicts(spark, sf):
+    """The blocked candidates judged: nearly all pass the gates, so the rules behind them are met."""
+    return _judged_candidates(spark, sf).select("relation_id", "kind", "rule_id", "confidence", "value_agreement", "escalate")
+
+
+def candidate_rules(spark, sf):
+    return _judged_candidates(spark, sf).groupBy("rule_id", "kind").agg(F.count("*").alias("pairs"))
+
+
 def status_verdicts(spark, sf):
     pairs = _pairs(spark, sf).drop("relation_id", "a_id", "b_id").filter("lower(trim(a_predicate)) = 'status' and lower(trim(b_predicate)) = 'status'")
     return cascade.compare(pairs).select("relation_id", "kind", "rule_id")
@@ -627,7 +656,7 @@ CORE = [
     export_sample_relations, best_two_per_kind, worst_flagged, nested_as_json, parse_value_number, parse_value_parts, unit_signature, unit_labels, precision_half_unit, measure_kinds,
     numbers_in_text, period_signature, period_compare_pairs, period_precedes, entity_normalize, entity_containment, acronym_of, predicate_tokens, predicate_jaccard, antonym_conflict,
     more_specific, same_entity_fuzzy, same_predicate_fuzzy, entity_clusters, candidate_pairs_topk, candidate_pairs_incremental, candidate_pairs_clustered, pair_ids_sha, unit_check, value_check,
-    text_field_check_exact, cascade_verdicts, verdicts_by_rule, status_verdicts, context_differences, counterfactual_changes, replay_drift, component_sibling_sums, relate_all, score_claims,
+    text_field_check, value_check_all, cascade_verdicts, verdicts_by_rule, candidate_verdicts, candidate_rules, status_verdicts, context_differences, counterfactual_changes, replay_drift, component_sibling_sums, relate_all, score_claims,
     line_offsets, furniture_lines, sentence_counts, value_mentions, headings_before, end_matter_pages, marked_headings, proper_noun_counts, detected_entities, extracted_claims, ingest_pages, grounded_spans, grounded_exactly,
     grid_scores, grid_claims, word_grids,
 ]

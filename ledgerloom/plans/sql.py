@@ -209,8 +209,6 @@ SELECT CAST(CASE WHEN NOT pa_stated OR NOT pb_stated THEN 0 WHEN ya < yb THEN -1
  WHEN p_pct AND q_pct THEN CASE WHEN abs(p_x - q_x) <= greatest(CASE WHEN p_half IS NULL OR q_half IS NULL THEN 0.0 ELSE greatest(p_half, q_half) END, 0.05) THEN 'equivalent' ELSE 'differ' END
  WHEN p_x = q_x THEN 'equal' WHEN coalesce(abs(p_x - q_x) <= CASE WHEN p_half IS NULL OR q_half IS NULL THEN NULL ELSE greatest(p_half, q_half) END, false) OR abs(p_x - q_x) / greatest(abs(p_x), abs(q_x)) <= 0.02 THEN 'equivalent' ELSE 'differ' END AS verdict
  FROM y WHERE p_x IS NOT NULL OR q_x IS NOT NULL""",
-    "text_field_check_exact": f"""{_PAIRS}, z AS (SELECT trim(coalesce(a_ctx_scope, '')) AS a, trim(coalesce(b_ctx_scope, '')) AS b FROM ab)
-SELECT CASE WHEN a = '' AND b = '' THEN 'same' WHEN a = '' OR b = '' THEN CASE WHEN lower(a || b) IN ({", ".join(f"'{w}'" for w in _lex.AGGREGATE_SCOPES)}) THEN 'same' ELSE 'unknown' END WHEN lower(a) = lower(b) THEN 'same' ELSE 'unknown' END AS verdict, count(*) AS pairs FROM z GROUP BY 1""",
     "score_claims": f"{_W}, s AS ({_SCORE}) SELECT claim_id, grounding_conf, CAST(round(CAST(e AS DECIMAL(10,4)) * CAST(grounding_conf AS DECIMAL(10,4)), 4) AS DOUBLE) AS combined, is_quarantined, (is_quarantined OR round(CAST(e AS DECIMAL(10,4)) * CAST(grounding_conf AS DECIMAL(10,4)), 4) < 0.6) AS is_review FROM s",
     "line_offsets": f"WITH {_LINES} SELECT CAST(page_no AS BIGINT) AS page_no, CAST(line_no AS INT) AS line_no, CAST(coalesce(before, 0) AS BIGINT) AS char_start, CAST(coalesce(before, 0) + length(text) AS BIGINT) AS char_end FROM ln",
     "furniture_lines": f"""WITH {_LINES}, t AS (SELECT DISTINCT source AS doc_id, page_no, trim(text, {_B}) AS text FROM ln), n AS (SELECT source AS doc_id, count(DISTINCT doc_id) AS pages FROM documents WHERE text IS NOT NULL GROUP BY 1)

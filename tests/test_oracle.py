@@ -6,7 +6,8 @@ from collections import Counter
 import duckdb
 import pytest
 
-from ledgerloom.plans import queries, sql
+from ledgerloom.plans import cascade_sql as sql
+from ledgerloom.plans import queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings claims relations document_store deletion_log entity_register mix_targets".split()
 
