@@ -148,3 +148,8 @@ ORACLE |= {
     "candidate_verdicts": f"{_JC} SELECT pair_id AS relation_id, kind, rule_id, CAST(floor(greatest(0.0, least(1.0, weakest * sure * rel)) * 10000 + 0.5) / 10000 AS DOUBLE) AS confidence, CASE WHEN {_PASSED} THEN value_v END AS value_agreement, escalate FROM jd",
     "candidate_rules": f"{_JC} SELECT rule_id, kind, count(*) AS pairs FROM jd GROUP BY 1, 2",
 }
+ORACLE["component_sibling_sums"] = f"""{_CLAIMS}, pq AS (SELECT relation_id, a.claim_id AS a_id, b.claim_id AS b_id, a.value_num AS a_v, b.value_num AS b_v, a.ctx_period AS a_p, b.ctx_period AS b_p, list_sort(list_distinct(a.w)) AS aw, list_sort(list_distinct(b.w)) AS bw
+  FROM r JOIN cl a ON a.claim_id = r.claim_a_id JOIN cl b ON b.claim_id = r.claim_b_id WHERE rule_id = 'R10'),
+ sd AS (SELECT relation_id, b_id AS whole_id, b_v AS whole, a_p AS period, aw AS ws, abs(a_v) AS amount FROM pq WHERE abs(a_v) < abs(b_v) AND len(aw) > len(bw) UNION ALL SELECT relation_id, a_id, a_v, b_p, bw, abs(b_v) FROM pq WHERE abs(b_v) < abs(a_v) AND len(bw) > len(aw)),
+ mx AS (SELECT whole_id, whole, period, ws, max(amount) AS amount FROM sd GROUP BY ALL), sm AS (SELECT whole_id, period, count(*) AS parts, CAST(sum(CAST(amount AS DECIMAL(28,4))) AS DOUBLE) AS total, any_value(whole) AS whole FROM mx GROUP BY 1, 2)
+ SELECT relation_id, parts, coalesce(abs(1 - total / nullif(abs(sm.whole), 0)) <= 0.05, false) AND parts >= 2 AS confirmed FROM sd JOIN sm ON sm.whole_id = sd.whole_id AND sm.period IS NOT DISTINCT FROM sd.period"""
