@@ -16,21 +16,21 @@ def parsed(spark, *texts):
 
 
 def test_three_scales_say_the_same(spark):
-    a, b, c = parsed(spark, "₹8,142 crore", "INR 81,420 million", "81.42 billion rupees")
-    assert a.v_number == b.v_number == pytest.approx(c.v_number) == pytest.approx(8.142e10)
+    a, b, c = parsed(spark, "₹3,377 crore", "INR 33,770 million", "33.77 billion rupees")
+    assert a.v_number == b.v_number == pytest.approx(c.v_number) == pytest.approx(3.377e10)
     assert a.v_currency == b.v_currency == c.v_currency == "INR"
 
 
 def test_signs_blanks_and_nothing(spark):
-    rows = parsed(spark, "(452)", "-3.5%", "8,142 2,076", "none", "", None, "６４")
-    assert [r.v_base for r in rows] == [-452.0, -3.5, 81422076.0, None, None, None, 64.0]
+    rows = parsed(spark, "(619)", "-7.25%", "3,377 5,120", "none", "", None, "６４")
+    assert [r.v_base for r in rows] == [-619.0, -7.25, 33775120.0, None, None, None, 64.0]
     assert [r.v_percent for r in rows][:2] == [False, True]
 
 
 @pytest.mark.parametrize(
     "a, b, verdict",
-    [("FY24", "FY2024", "same"), ("FY24", "fiscal year 2023-24", "same"), ("FY24", "2023-24 financial year", "same"), ("2024-25", "FY25", "same"), ("FY24", "Q4 FY24", "different"),
-     ("September 2025", "FY25", "different"), ("FY24", "FY23", "different"), ("FY24", None, "unknown"), (None, None, "unknown"), ("", "FY24", "unknown")],
+    [("FY21", "FY2021", "same"), ("FY21", "fiscal year 2020-21", "same"), ("FY21", "2020-21 financial year", "same"), ("2018-19", "FY19", "same"), ("FY21", "Q2 FY21", "different"), ("H1 FY21", "H2 FY21", "different"),
+     ("June 2019", "FY19", "different"), ("FY21", "FY20", "different"), ("FY21", None, "unknown"), (None, None, "unknown"), ("", "FY21", "unknown"), ("2019 and 2020", "2020", "unknown")],
 )
 def test_periods(spark, a, b, verdict):
     df = spark.createDataFrame([(a, b)], "a string, b string")
@@ -39,8 +39,8 @@ def test_periods(spark, a, b, verdict):
 
 
 def test_quarters_both_ways(spark):
-    df = periods.with_period(spark.createDataFrame([("1Q24",), ("3Q",), ("Q2 FY25",)], "p string"), "p")
-    assert [r.p_quarters for r in df.collect()] == [[1], [3], [2]]
+    df = periods.with_period(spark.createDataFrame([("1Q22",), ("4Q",), ("Q3 FY19",)], "p string"), "p")
+    assert [r.p_quarters for r in df.collect()] == [[1], [4], [3]]
 
 
 def brute_lcs(a, b):
