@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import unicodedata
 from collections import Counter
 
@@ -127,6 +128,15 @@ def test_dense_region_is_cut_and_lonely_queries_ask_everywhere(spark, monkeypatc
     assert sizes.value == 0 and all(len(set(v)) == 5 for v in got.values()) and set(got) == set(ids)
 
 
+def test_driver_needs_little_memory_for_many_lists():
+    c = np.random.default_rng(3).normal(size=(6000, 8)).astype(np.float32)
+    tracemalloc.start()
+    vectors.neighbour_graph(c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
+
 def test_graph_walk_finds_near_centroids():
     rng = np.random.default_rng(1)
     c = rng.normal(size=(700, 24)).astype(np.float32)
