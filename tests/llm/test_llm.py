@@ -128,6 +128,35 @@ def test_dense_region_is_cut_and_lonely_queries_ask_everywhere(spark, monkeypatc
     assert sizes.value == 0 and all(len(set(v)) == 5 for v in got.values()) and set(got) == set(ids)
 
 
+def test_rounds_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(60, 16))
+    x = (centres[rng.integers(60, size=1500)] + 0.3 * rng.normal(size=(1500, 16))).astype(np.float32)
+    x[5:9] = x[4]
+    ids = [f"v{i:05}" for i in rng.permutation(len(x))]
+    df = frame(spark, [(i, [float(f) for f in v]) for i, v in zip(ids, x)] + [(ids[3], [float(f) for f in x[1400]])], "id string, e array<float>")
+    monkeypatch.setattr(vectors, "LIST_SIZE", 30)
+    answers, moved = [], []
+    for rows in (10**9, 50):
+        monkeypatch.setattr(vectors, "ROUND_ROWS", rows)
+        calls, plain = [], vectors._compared
+        monkeypatch.setattr(vectors, "_compared", lambda df, *a: (calls.append(df.count()), plain(df, *a))[1])
+        answers.append(sorted(map(tuple, vectors.similar_pairs(df, "id", "e", 5, 16).collect())))
+        monkeypatch.setattr(vectors, "_compared", plain)
+        moved.append(calls)
+    assert answers[0] == answers[1] and len(moved[0]) == 1 and len(moved[1]) > 1
+    assert sum(moved[1]) == moved[0][0] and max(moved[1]) < 1.5 * len(x)
+
+
+def test_vectors_are_packed_without_loss(spark):
+    u = np.random.default_rng(2).normal(size=(50, 16))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    u[0], u[1] = np.eye(16)[0], -np.eye(16)[1]
+    got = vectors.directions(frame(spark, [(str(i), v.tolist()) for i, v in enumerate(u)], "id string, e array<double>"), "id", "e", 16).collect()
+    assert all(len(r.vec) == 48 for r in got)
+    assert (vectors.unpack([r.vec for r in got], 16) == np.round(u[[int(r.id) for r in got]], 6).astype(np.float32)).all()
+
+
 def test_driver_needs_little_memory_for_many_lists():
     c = np.random.default_rng(3).normal(size=(6000, 8)).astype(np.float32)
     tracemalloc.start()
