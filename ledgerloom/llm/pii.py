@@ -12,16 +12,18 @@ decoded whole, line by line.
 
 from __future__ import annotations
 
+import gc
 import random
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ PAD = ""
 # A token is a run without blanks, less the punctuation around it, which makes tokens of its own.
 TOKEN = re.compile(r"\n|[\(\[\{<\"'«“‘¿¡](?!\d{1,5}\))|(?:[^\s,;:!?<>\"'«»“”’।\[\]{}()]|(?<=\d)\(\d+\)|\(\d{2,5}\)|(?<=\w)['’:](?=\w)|,(?=\d{3}))+?(?=[.,;:!?।\)\]\}>\"'»”’]*(?:\s|$)|[,;<>\[\]{}()«»“”।])|\S")
 SHARE = 4
+# Texts that are tagged together: so many, or so many characters. Words whose features a process keeps.
+TEXTS, CHARACTERS, KNOWN = 1000, 1_000_000, 100_000
 # Hints of words, in five languages, of classes a reader goes by.
 CUES = {
     "email": "email e-mail emails mail mailto courriel correo contact contacto kontakt write écrire écrivez schreiben escriba संपर्क ईमेल ई-मेल",
@@ -69,7 +73,8 @@ PATTERNS = {
     "Z": r"\b\p{Lu}{1,2}\d[\d\p{Lu}]? ?\d\p{Lu}{2}\b|\b\p{Lu}{2} \d{5}(?:-\d{4})?\b|(?<![\d.,])(?:\p{Lu}{1,2}-)?\d{5}(?= \p{Lu})|(?<=[\p{L},\-] )\d{3} ?\d{3}(?![\d.,]|\s?%)",
 }
 _PATTERN = {f: (re if f in "EP" and r"\p" not in p else regex).compile(p) for f, p in PATTERNS.items()}
-_SHOWS = {"E": regex.compile(r"@|[(\[] ?at ?[)\]]", regex.I), "U": regex.compile(r"\d|//|www|@")}
+_AT = regex.compile(r"[(\[] ?at ?[)\]]", regex.I)
+_PARTED = regex.compile(r"\d[./–\-]\d|97[89][ -]|[0-9a-f]{16}")
 _DIGIT = regex.compile(r"\d")
 PARTICLES = frozenset("de da do dos das del della der den di du la le van von zu bin ibn al el y e ter ten af av".split())
 # Between a token and the patterns it lies in; and the mark of a token whose letters are hidden in training.
@@ -83,10 +88,14 @@ def tokenise(text: str) -> list[tuple[int, int]]:
 def marked(text: str, spans: list[tuple[int, int]]) -> list[str]:
     """The tokens of one line, each with the patterns it lies in."""
     words = [text[a:b] for a, b in spans]
-    digit = _DIGIT.search(text) is not None
+    # What a line must show for any run in it to fit a pattern.
+    digit, at = _DIGIT.search(text) is not None, "@" in text
+    shows = {
+        "E": at or ("(" in text or "[" in text) and _AT.search(text) is not None,
+        "U": at or "//" in text or "www" in text or digit and _PARTED.search(text) is not None,
+    }
     for f, pattern in _PATTERN.items():
-        # Nothing without a digit or an at sign fits a pattern.
-        if not (_SHOWS[f].search(text) if f in _SHOWS else digit):
+        if not shows.get(f, digit):
             continue
         for m in pattern.finditer(text):
             i = bisect_left(spans, (m.start(), 0))
@@ -143,14 +152,22 @@ def features(token: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def _scores(words: list[str], index: dict[str, int], weights: np.ndarray) -> np.ndarray:
-    """(offset, word, label): what each word contributes at each offset, the sum of the weights of its features."""
+def _scores(words: list[str], index: dict[str, int], weights: np.ndarray, known: dict[str, tuple[int, ...]]) -> np.ndarray:
+    """(offset, word, label): what each word contributes at each offset, the sum of the weights of its features. ``known``
+    keeps the numbers of a word's features, of ``KNOWN`` words at most."""
     wide = np.concatenate([weights.transpose(1, 0, 2).reshape(len(index), -1), np.zeros((1, len(OFFSETS) * NL), dtype=np.float32)])
     parts = []
     for i in range(0, len(words), 4096):
-        rows = [[j for f in features(w) if (j := index.get(f)) is not None] + [len(index)] for w in words[i : i + 4096]]
+        if len(known) > KNOWN:
+            known.clear()
+        rows = []
+        for w in words[i : i + 4096]:
+            row = known.get(w)
+            if row is None:
+                row = known[w] = (*(j for f in features.__wrapped__(w) if (j := index.get(f)) is not None), len(index))
+            rows.append(row)
         starts = np.cumsum([0] + [len(r) for r in rows[:-1]])
-        parts.append(np.add.reduceat(wide[np.concatenate(rows)], starts, axis=0))
+        parts.append(np.add.reduceat(wide[np.fromiter(chain.from_iterable(rows), dtype=np.int64)], starts, axis=0))
     return np.ascontiguousarray(np.concatenate(parts).reshape(len(words), len(OFFSETS), NL).transpose(1, 0, 2))
 
 
@@ -179,13 +196,14 @@ class Tagger:
     index: dict[str, int]
     weights: np.ndarray  # (offset, feature, label)
     moves: np.ndarray  # (label, label)
+    known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False, compare=False)
 
     def decode(self, chains: list[list[str]]) -> list[np.ndarray]:
         """The most likely labels of each chain of words."""
         known: dict[str, int] = {}
         coded = [np.array([known.setdefault(w, len(known)) for w in c], dtype=np.int64) for c in chains]
         words = [*known, PAD]
-        tables = _scores(words, self.index, self.weights)
+        tables = _scores(words, self.index, self.weights, self.known)
         out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(chains)
         order = sorted((i for i in range(len(chains)) if len(coded[i])), key=lambda i: len(coded[i]))
         at = 0
@@ -337,17 +355,26 @@ def _exact(kind: str, text: str) -> bool:
 
 def items(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
     """(start, end, kind) of the items of each text, in order."""
-    chains, home = [], []
+    chains, home, lines = [], [], {}
     for n, text in enumerate(texts):
         at = 0
         for line in text.split("\n"):
-            spans = [(a + at, b + at) for a, b in tokenise(line)]
+            # A line that comes again is tagged once.
+            if line not in lines:
+                spans = [m.span() for m in TOKEN.finditer(line)]
+                lines[line] = (len(chains), spans)
+                if spans:
+                    chains.append(marked(line, spans))
+            number, spans = lines[line]
             if spans:
-                chains.append(marked(line, [(a - at, b - at) for a, b in spans]))
-                home.append((n, spans))
+                home.append((n, at, number, spans))
             at += len(line) + 1
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for (n, spans), path in zip(home, tagger.decode(chains)):
+    paths = [path if path.any() else None for path in tagger.decode(chains)]
+    for n, at, number, spans in home:
+        path = paths[number]
+        if path is None:
+            continue
         i = 0
         while i < len(path):
             if path[i] == 0:
@@ -356,7 +383,7 @@ def items(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
             j, kind = i + 1, LABELS[path[i]][2:]
             while j < len(path) and LABELS[path[j]] == f"I-{kind}":
                 j += 1
-            a, b = spans[i][0], spans[j - 1][1]
+            a, b = at + spans[i][0], at + spans[j - 1][1]
             piece = texts[n][a:b]
             cut = piece.rstrip(" ,;:!?।>)]\"'»”" if kind != "phone" else " ,;:!?।>]\"'.")
             if kind in ("email", "address", "id_number"):
@@ -376,25 +403,31 @@ def find_items(docs: DataFrame, key: str, text: str) -> DataFrame:
     nothing else changed; start and end count code points. Null texts have no items and stay null; an
     empty or blank text has none and is returned as it is. Rows with equal keys are kept apart.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(default_tagger())
-    schema = "items array<struct<kind string, text string, start int, end int>>, redacted string"
+    shared = docs.sparkSession.sparkContext.broadcast(replace(default_tagger(), known={}))
+    kept = docs.select(key, F.col(text).alias("_text")).filter("_text is not null")
+    schema = f"`{key}` {kept.schema[key].dataType.simpleString()}, items array<struct<kind string, text string, start int, end int>>, redacted string"
 
-    @F.pandas_udf(schema)
-    def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.value
-        for s in batches:
-            out, clean = [], []
-            texts = s.tolist()
-            for i in range(0, len(texts), 1000):
-                part = texts[i : i + 1000]
-                for t, found in zip(part, items([t or "" for t in part], tagger)):
-                    out.append([(k, t[a:b], a, b) for a, b, k in found])
-                    at, pieces = 0, []
+        gc.disable()  # nothing here refers to itself, and there are many small objects
+        item = pa.struct([("kind", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                texts, size = [], 0
+                while at + len(texts) < batch.num_rows and len(texts) < TEXTS and size < CHARACTERS:
+                    texts.append(batch.column(1)[at + len(texts)].as_py())
+                    size += len(texts[-1])
+                out, clean = [], []
+                for t, found in zip(texts, items(texts, tagger)):
+                    out.append([{"kind": k, "text": t[a:b], "start": a, "end": b} for a, b, k in found])
+                    done, pieces = 0, []
                     for a, b, k in found:
-                        pieces += [t[at:a], f"[{k.upper()}]"]
-                        at = b
-                    clean.append(None if t is None else "".join(pieces) + t[at:])
-            yield pd.DataFrame({"items": out, "redacted": clean})
-
-    return docs.select(key, F.col(text).alias("_text")).filter("_text is not null").withColumn("t", tag("_text")).select(key, "t.items", "t.redacted")
+                        pieces += [t[done:a], f"[{k.upper()}]"]
+                        done = b
+                    clean.append("".join(pieces) + t[done:])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(out, pa.list_(item)), pa.array(clean, pa.string())], names=[key, "items", "redacted"])
+                at += len(texts)
+
+    # One pass over the texts: a function in a projection is run again for every filter that looks at what it gives.
+    return kept.mapInArrow(tag, schema)

@@ -376,6 +376,22 @@ def test_items_and_placeholders(spark):
     assert pii.find_items(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_a_text_is_tagged_once(spark, monkeypatch):
+    seen, plain = spark.sparkContext.accumulator(0), pii.items
+
+    def counted(texts, tagger):
+        seen.add(len(texts))
+        return plain(texts, tagger)
+
+    monkeypatch.setattr(pii, "items", counted)
+    monkeypatch.setattr(pii, "CHARACTERS", 100, raising=False)
+    text = "Regards, Anna Miller\nPhone: +44 20 7946 0123, ask for the manager."
+    found = pii.find_items(frame(spark, [(i, text) for i in range(9)], "doc_id long, text string"), "doc_id", "text")
+    flat = found.select("doc_id", F.explode("items").alias("x")).select("doc_id", "x.kind", "x.text")
+    assert Counter((r.kind, r.text) for r in flat.collect()) == {("person_name", "Anna Miller"): 9, ("phone", "+44 20 7946 0123"): 9}
+    assert seen.value == 9
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(0)
     tagger = pii.Tagger({}, np.zeros((9, 0, pii.NL), dtype=np.float32), rng.normal(size=(pii.NL, pii.NL)).astype(np.float32))
