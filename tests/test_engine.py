@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import similarity
 from ledgerloom.operators import cascade, extraction, grids, grounding, matching, orphans
 from ledgerloom.plans import queries
 from ledgerloom.sources import store
@@ -158,6 +159,41 @@ def test_one_name_in_many_spellings_is_one_node(spark):
     assert matching.name_nodes(df).count() == 1 and matching.cluster_entities(df).select("cluster").distinct().collect()[0][0] == "acme works"
 
 
+def test_spellings_do_not_all_meet_each_other(spark, monkeypatch):
+    rng = random.Random(5)
+    names = set()
+    while len(names) < 240:
+        word = list("drumbivolentagorska" + "manufactur" * rng.randint(0, 1))
+        for _ in range(rng.randint(0, 2)):
+            word[rng.randrange(len(word))] = rng.choice("abcdefgh")
+        names.add(rng.choice(["Drum ", "The Drum ", "Old Drum and "]) + "".join(word) + rng.choice(["", "s", "ss", "sss"]))
+    df = spark.createDataFrame([(n,) for n in sorted(names)], "subject string")
+    gate, met = matching.with_entity_gate, []
+
+    def counted(pairs, *sides):
+        met.append(pairs.count())
+        return gate(pairs, *sides)
+
+    monkeypatch.setattr(matching, "with_entity_gate", counted)
+    found = []
+    for turn in (1_000_000, 60):
+        monkeypatch.setattr(matching, "TURN", turn, raising=False)
+        met.clear()
+        found.append(({tuple(r) for r in matching.cluster_entities(df).collect()}, sum(met)))
+    assert found[0][0] == found[1][0] and found[1][1] < found[0][1] / 2
+
+
+def test_pieces_of_names_meet_once(spark, monkeypatch):
+    names = [f"{a} {b} Works" for a in ("Acme", "Acmee", "Akme", "Zenith", "Zenit") for b in ("Steel", "Steels", "Foods", "Food")]
+    nodes = matching.indexed(matching.name_nodes(spark.createDataFrame([(n,) for n in names], "subject string")))
+    whole = {tuple(r) for r in matching._spelt_alike(nodes, None).filter("a < b").collect()}
+    want = {(a, b) for a in names for b in names if a < b and similarity.token_sort_ratio(a.lower(), b.lower()) >= matching.ENTITY_RATIO}
+    monkeypatch.setattr(matching, "PIECE", 3)
+    cut = [(min(r), max(r)) for r in matching._spelt_alike(nodes, None).collect() if r.a != r.b]
+    one, other = nodes.filter("head < 'Az'"), nodes.filter("head >= 'Az' or head like '%Food%'")
+    assert whole == want == set(cut) and {tuple(sorted(r)) for r in matching._spelt_alike(one, other).collect() if r.a != r.b} <= want
+
+
 def test_confirmed_components(spark):
     parts = [("w", "sales", 100.0), ("p1", "sales of ice", 60.0), ("p2", "sales of salt blocks", 38.0), ("p3", "sales of ice", 20.0)]
     df = spark.createDataFrame([claim(i, predicate=p, value=str(v), value_num=v, **FY) for i, p, v in parts], ROW)

@@ -117,3 +117,11 @@ def test_no_quantities(spark):
 def test_labelled_units(spark, stated, unit, amount):
     row = harmonise(claims(spark, ("a", "5", None, stated))).first()
     assert (row.status, row.common_unit, row.amount) == ("stated", unit, amount)
+
+
+def test_ratios_of_many_pairs_are_those_of_single_ones():
+    rng = random.Random(3)
+    text = lambda letters: "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 20, 63, 64, 65, 100, 160, 161, 170])))
+    xs, ys = [text("abcdé ") for _ in range(600)], [text("abcdf ж") for _ in range(600)]
+    assert similarity.ratios(xs, ys).tolist() == [similarity.ratio(x, y) for x, y in zip(xs, ys)] and similarity.ratios([], []).tolist() == []
+    assert similarity.token_sort_ratios(xs, ys).tolist() == [similarity.token_sort_ratio(x, y) for x, y in zip(xs, ys)]
