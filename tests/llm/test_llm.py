@@ -432,3 +432,23 @@ def test_found_columns(spark, small):
         df = queries.QUERIES[name](spark, small)
         assert df.columns == want and df.count() > 0, name
     assert unicodedata and pd is not None
+
+
+def test_cells_are_only_those_a_vector_visits(spark):
+    rows = spark.range(300).selectExpr("0 as list", "40 as blocks", "3 as ask_blocks", "id % 5 > 0 as stored", "id % 50 = 0 as asks", "id as rep", "array(cast(0 as long)) as more", "binary('x') as vec")
+    got = vectors._cells(rows).collect()
+    of = {r.rep: r for r in rows.selectExpr("rep", "stored", "asks", "pmod(xxhash64(rep), 40) as b", "pmod(shiftright(xxhash64(rep), 8), 3) as q").collect()}
+    every = [(r, b, q, r.stored and r.b == b, r.asks and r.q == q) for r in of.values() for b in range(40) for q in range(3)]
+    assert sorted((r.rep, r.block, r.ask_block, r.stored, r.asks) for r in got) == sorted((r.rep, b, q, s, a) for r, b, q, s, a in every if s or a)
+
+
+def test_a_block_of_all_vectors_is_compared_in_little_memory():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    pdf = pd.DataFrame({"stored": True, "asks": [i < 900 for i in range(len(x))], "rep": range(len(x)), "more": [[] for _ in x], "vec": vectors.pack(x)})
+    tracemalloc.start()
+    out = vectors.compare(pdf, 5, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 900 and peak < 150e6
