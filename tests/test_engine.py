@@ -183,6 +183,22 @@ def test_spellings_do_not_all_meet_each_other(spark, monkeypatch):
     assert found[0][0] == found[1][0] and found[1][1] < found[0][1] / 2
 
 
+def test_clustered_candidates_compare_fewer_names(spark, small, monkeypatch):
+    gate, met = matching.with_entity_gate, []
+
+    def counted(pairs, *sides):
+        met.append(pairs.count())
+        return gate(pairs, *sides)
+
+    monkeypatch.setattr(matching, "with_entity_gate", counted)
+    found = []
+    for turn in (1_000_000, 100):
+        monkeypatch.setattr(matching, "TURN", turn, raising=False)
+        met.clear()
+        found.append(({tuple(r) for r in queries.candidate_pairs_clustered(spark, small).collect()}, sum(met)))
+    assert found[0][0] == found[1][0] and found[1][1] < found[0][1]
+
+
 def test_pieces_of_names_meet_once(spark, monkeypatch):
     names = [f"{a} {b} Works" for a in ("Acme", "Acmee", "Akme", "Zenith", "Zenit") for b in ("Steel", "Steels", "Foods", "Food")]
     nodes = matching.indexed(matching.name_nodes(spark.createDataFrame([(n,) for n in names], "subject string")))
